@@ -163,7 +163,7 @@ def fingerprint(runs: DataFrame, signals: DataFrame, metrics: DataFrame) -> Data
         F.lit("met"),
         F.col("signal_id").cast("string"),
         F.col("name"),
-        F.col("value").cast("string"),
+        F.col("value").cast("decimal(38,6)").cast("string"),
         F.date_format("recorded_at", stamp),
     )
     observed = metrics.filter(F.col("value").isNotNull())
