@@ -441,8 +441,8 @@ CTES |= {
     # model sentiment
     "inputs": f"""select s.signal_id, s.run_id, s.signal_no, c.language, c.label, c.score, c.confidence, substring({strip('c.cleaned_text')}, 1, 4000) as llm_text,
           length({strip('c.cleaned_text')}) > 4000 as is_truncated, r.keyword from classified c join sealed s using (signal_id) join runs r on r.run_id = s.run_id where text_status = 'processed'""",
-    "keyed": """select *, sha256('{"input_hash":"' || sha256(llm_text) || '","keyword_hash":"' || sha256(keyword) || '","language":"' || coalesce(language, '')
-          || '","model":"model-a","prompt_hash":"abc","prompt_version":"v1","provider":"demo","response_schema_version":"1.0"}') as cache_key from inputs""",
+    "keyed": f"""select *, sha256('{{"input_hash":"' || sha256({strip('llm_text')}) || '","keyword_hash":"' || sha256(keyword) || '","language":"' || coalesce(language, '')
+          || '","model":"model-a","prompt_hash":"abc","prompt_version":"v1","provider":"demo","response_schema_version":"1.0"}}') as cache_key from inputs""",
     "cached": "select distinct cache_key from keyed join labels on doc_id = signal_id",
     "pend": """select *, (row_number() over (partition by run_id order by signal_no) - 1) // 20 as batch_no from (
         select run_id, cache_key, min(signal_no) as signal_no, arg_min(llm_text, signal_no) as llm_text from keyed where cache_key not in (select cache_key from cached) group by 1, 2)""",
@@ -533,6 +533,9 @@ QUERIES: dict[str, str] = {
     "join2_retained_signals": "select arrival, run_id, content_hash from hashed where content_hash in (select content_hash from judged where outcome = 'retained')",
     "prj2_redacted_text": f"select doc_id, {redact('raw_text')} as redacted from docs",
     "flt6_supported_languages": f"select doc_id, doc_id % 4 in (2, 3) or language in ({text_list(A.LANGUAGES)}) as is_supported from docs",
+    "prj3_prj4_sanitized_records": f"""select doc_id, first as title, md5({redact('raw_text', ('Thon', 'erin', 'eriner', 'ouiae'))}) as raw_md5, 'https://example.org/redacted/x' as url, null::varchar as channel_id,
+        '{{"title":' || to_json(first) || ',"details":{{"inner":{{"note":' || to_json(first) || '}},"n":3}},"list":[' || to_json(first) || ',"redacted"]}}' as platform_metadata
+        from (select *, {redact('string_split(raw_text, chr(10))[1]', ('Thon', 'erin', 'eriner', 'ouiae'))} as first from docs)""",
     "prj5_modalities": "select signal_id, array_to_string(modalities, '|') as modalities from signals",
     "flt7_set2_modality_views": "select signal_id, run_id from signals where list_has_any(modalities, ['engagement', 'search_intent'])",
     "prj6_normalized_tags": f"select signal_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(tags, lambda t: {strip('t')}), lambda t: t <> ''))), '|') as tags from signals",
@@ -610,7 +613,7 @@ QUERIES: dict[str, str] = {
         left join (select run_id, string_agg(metric_name, '|' order by metric_name desc) as m from base where periods >= 4 and total >= 3 group by 1) using (run_id)""",
     "scl9_alert_evidence": f"select a.run_id, strftime(a.day, {DAY}) as period_start, metric_name, signal_id from alert a join ds s on s.run_id = a.run_id and s.published_at::date = a.day",
     "agg23_agg26_filter_statistics": """select run_id, count(*) as collected_count, count(*) filter (not spam_flag) as eligible_count, count(*) filter (spam_flag) as excluded_count,
-        count(*) filter (spam_flag) / count(*) as spam_exclusion_rate, case when count(*) filter (spam_flag) / count(*) > 0.3 then 1.0 else 0.0 end as severity_score from signals group by 1""",
+        count(*) filter (spam_flag) / count(*) as spam_exclusion_rate, case when count(*) filter (spam_flag) / count(*) > 0.3 then 1.0::double else 0.0::double end as severity_score from signals group by 1""",
     "agg24_source_coverage": "select m.run_id, module_type as collector, max(status) filter (true) as status, coalesce(sum(n), 0)::bigint as eligible_count from module_runs m left join (select module_run_id, count(*) as n from ds group by 1) using (module_run_id) group by 1, 2",
     "agg27_active_platforms": "select run_id, count(*) as source_count, string_agg(upper(module_type[1]) || module_type[2:], '|' order by module_type) as platforms from module_runs where status = 'completed' group by 1",
     "agg28_fingerprints": "select r.run_id, coalesce(s.n, 0) as signal_count, coalesce(m.n, 0)::bigint as observation_count, 'sha256:' || sha256(concat_ws('|', keyword, strftime(timeframe_start, '%Y-%m-%dT%H:%M:%S.%f'), strftime(timeframe_end, '%Y-%m-%dT%H:%M:%S.%f'), 'text-v1', 'analysis-v1', "

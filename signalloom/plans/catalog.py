@@ -208,8 +208,9 @@ def labelled_examples(spark, sf):
 def manifests(spark, sf):
     labels = A.table(spark, sf, "labels")
     rows = labels.groupBy("quality").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.min("doc_id").alias("first")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic")
     ).select(
+        "quality",
         F.to_json(
             F.struct(
                 F.concat(F.lit("v"), F.col("quality").cast("string")).alias("dataset_version"),
@@ -222,8 +223,9 @@ def manifests(spark, sf):
             )
         ).alias("value")
     )
+    # A manifest is a file of its own.
     path = scratch_path(spark, "manifests")
-    rows.write.text(path)
+    rows.write.partitionBy("quality").text(path)
     found = labelled.read_manifest(spark, path)
     return found.select("dataset_version", F.col("reviewer_count").cast("bigint").alias("reviewer_count"), "is_valid", "verified")
 
