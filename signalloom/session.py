@@ -19,6 +19,10 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings that only a new session can take. The operators build many
+# expressions; recording the source line of each costs more than planning.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 # A table is broadcast only after a count shows it holds at most this many rows.
 BROADCAST_ROW_LIMIT = 200_000
 
@@ -27,7 +31,7 @@ def build_session(app_name: str = "signalloom", master: str | None = None, **ext
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **extra}.items():
+    for key, value in {**SQL_SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
