@@ -19,9 +19,8 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], out:
     partitioned rows are written once, because both the sizes and the local
     numbers must see the same partition boundaries.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
+    # Without a fixed number, adaptive execution merges small neighbouring ranges.
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order)
     ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), name)
 
     sizes = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"))

@@ -797,7 +797,8 @@ def signal_order(spark, sf):
 
 def analysis(spark, sf):
     def build():
-        return modules.analyze(A.dataset_signals(spark, sf), A.metrics(spark, sf), A.runs(spark, sf), SETTINGS)
+        signals, table = A.dataset_signals(spark, sf), keyword_table(spark, sf)
+        return modules.analyze(signals, A.metrics(spark, sf), A.runs(spark, sf), SETTINGS, table)
 
     return once(spark, sf, "analysis", build)
 

@@ -2,9 +2,9 @@
 
 A table is a folder partitioned by ``bucket``, a hash of its partition column,
 so that a change rewrites only the buckets it touches and the number of
-folders does not grow with the number of runs. Rewrites are computed into the
-shared folder first and then replace their buckets in one commit; a lost
-executor only repeats tasks. One writer per table at a time.
+folders does not grow with the number of runs. A rewrite replaces its buckets
+in one commit at the end of the job and reads the old files until then, so a
+lost executor only repeats tasks. One writer per table at a time.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _write(df: DataFrame, path: str, *, replace: bool) -> None:
-    # Rows spread by all columns' hash: a hot bucket is written by many tasks.
-    writer = df.write.partitionBy("bucket")
+    # Few files per bucket, and several tasks for a bucket that is too large for one.
+    writer = df.hint("rebalance", "bucket").write.partitionBy("bucket")
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -60,6 +60,7 @@ def append_signals(spark: SparkSession, path: str, signals: DataFrame, buckets:
     if stored is not None:
         firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
     fresh = signals.join(firsts.select("arrival"), "arrival", "left_semi")
+    # Kept, because afterwards the stored table holds these rows as well.
     fresh = materialize(_bucketed(fresh, "run_id", buckets), "append")
     _write(fresh, path, replace=False)
     return fresh.drop("bucket")
@@ -76,7 +77,7 @@ def insert_first_writer(
     stored = _read(spark, path)
     if stored is not None:
         fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
-    _write(materialize(_bucketed(fresh, keys[0], buckets), "insert"), path, replace=False)
+    _write(_bucketed(fresh, keys[0], buckets), path, replace=False)
     wanted = rows.select(*keys).distinct()
     return spark.read.parquet(path).drop("bucket").join(wanted, list(keys), "left_semi")
 
@@ -102,7 +103,7 @@ def _rewrite(
     touched = rows.select("bucket").distinct()
     old = stored.join(small_side(touched), "bucket", "left_semi")
     merged = merge(old.select(rows.columns), rows)
-    _write(materialize(merged, "merge"), path, replace=True)
+    _write(merged, path, replace=True)
 
 
 def upsert_latest(
