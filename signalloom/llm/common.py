@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 import signalloom
 from signalloom.session import materialize
 
-__all__ = ["append_columns", "collect_garbage", "dense_ranks", "materialize", "read", "ship", "without"]
+__all__ = ["append_columns", "dense_ranks", "keep", "materialize", "read", "release", "ship", "without"]
 
 _shipped: set[str] = set()
 
@@ -71,12 +72,22 @@ def append_columns(
     return df.mapInArrow(run, StructType([*kept, *fields]))
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of jobs whose results are already written."""
-    import gc
-
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder, read it back, and let Spark delete the shuffle files that led to it."""
+    stored = materialize(df, name)
+    del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    stored.sparkSession.sparkContext._jvm.System.gc()
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``keep`` that no later step reads."""
+    for table in tables:
+        session = table.sparkSession
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dense_ranks(df: DataFrame, group: str, position: Column, order: Sequence[Column], out: str, buckets: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import collect_garbage, materialize
+from signalloom.llm.common import keep as materialize
 from signalloom.llm.shingles import mixed, shingle_sets
 
 LARGEST_LIGHT = 24
@@ -226,7 +226,6 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
         else documents.filter("doc_id IS NOT NULL").join(alone, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text"),
         "base",
     )
-    collect_garbage(spark)
 
     nodes = members.filter("doc_id = node AND n > 0").select("node", "n").distinct()
     sizes = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").count().collect()}
@@ -249,7 +248,6 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
         .filter("k > 1").select("token", "node", "n", "at"),
         "lists",
     )
-    collect_garbage(spark)
 
     # First through hubs: the member to which the list's shingle comes earliest has the fewest shingles of its own.
     hubs = listed.groupBy("token").agg(F.min(F.struct("at", "n", "node")).alias("hub"))
@@ -264,7 +262,6 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
     first = materialize(near.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b"), "near")
     links = materialize(links.union(_verified(first, base, words, percent)), "links")
     joined = components(links)
-    collect_garbage(spark)
 
     # Then every pair that may still join two components.
     placed = materialize(

@@ -71,7 +71,8 @@ def shingle_sets(texts: Sequence[str | None], words: int) -> Iterator[np.ndarray
             chained = mixed(chained)
         for a, b in zip(first.tolist(), last.tolist()):
             if b - a >= words:
-                yield np.unique(chained[a : b - words + 1])
+                ordered = np.sort(chained[a : b - words + 1])
+                yield ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
             elif b > a:
                 whole = _U(b - a)
                 with np.errstate(over="ignore"):
