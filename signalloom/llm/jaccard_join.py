@@ -25,9 +25,11 @@ from signalloom.llm.common import keep as materialize
 from signalloom.llm.shingles import mixed, shingle_sets
 
 LARGEST_LIGHT = 24
-# A shingle is frequent from this many list entries on, or more where the lists as a whole are so long that the
-# broadcast order would hold over MOST_FREQUENT shingles.
+# A shingle is frequent from this many documents on, or more where the table is so long that the broadcast order would
+# hold over MOST_FREQUENT shingles. Tasks report shingles that they have seen REPORTED times. The order decides only how
+# long the lists are.
 FREQUENT = 48
+REPORTED = 3
 MOST_FREQUENT = 200_000
 
 
@@ -111,6 +113,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _frequent(base: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [v for v in shingle_sets(batch.column("text").to_pylist(), words) if len(v)]
+            if not found:
+                continue
+            ordered = np.sort(np.concatenate(found))
+            begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            counts = np.diff(np.concatenate([begins, [len(ordered)]]))
+            often = counts >= REPORTED
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ordered[begins[often]].view(np.int64)), pa.array(counts[often])], ["token", "k"]
+            )
+
+    return base.mapInArrow(run, "token long, k long").groupBy("token").agg(F.sum("k").alias("count"))
+
+
 def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = order.value
@@ -232,8 +251,7 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
     light = choose_boundary(sizes, percent)
     links = _light_links(base, words, percent, light).select("a", "b") if light else spark.createDataFrame([], "a long, b long")
 
-    no_order = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
-    counts = materialize(_entries(base, words, percent, light, no_order).groupBy("token").count().filter(F.col("count") >= FREQUENT), "frequent")
+    counts = materialize(_frequent(base, words).filter(F.col("count") >= FREQUENT), "frequent")
     total = counts.agg(F.sum("count")).first()[0] or 0
     bar = max(FREQUENT, -(-total // MOST_FREQUENT))
     # At most total / bar shingles, hence MOST_FREQUENT, are collected.
@@ -273,13 +291,16 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
         .filter("kinds > 1").select("token", F.col("m.component").alias("main"))
     )
     open_lists = placed.join(largest, "token")
-    probe = open_lists.filter("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")])
-    other = open_lists.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
+    probe = open_lists.filter("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "component")])
+    other = open_lists.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
     asked = F.when(F.least("n_a", "n_b") < 24, 1).when(F.least("n_a", "n_b") < 60, 2).otherwise(3)
+    # Similar sets of these two sizes have their first common shingles this early.
+    reach = asked - least_common(F.col("n_a"), F.col("n_b"), percent)
     met = (
         probe.join(other, "token")
         .filter("component_a <> component_b AND (component_b = main OR node_a < node_b)")
         .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        .filter((F.col("at_a") < F.col("n_a") + reach) & (F.col("at_b") < F.col("n_b") + reach))
         .groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).filter("k >= asked").select("a", "b")
     )
