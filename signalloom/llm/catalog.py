@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, jaccard_join, mixing, pieces, sharding, suffix_dedup, toxicity
-from signalloom.llm.common import read
+from signalloom.llm import chat, jaccard_join, media, mixing, pieces, sharding, suffix_dedup, topk, toxicity, warc
+from signalloom.llm.common import keep, read
 
 PIECES = "piece_bpe_32k.model"
 
@@ -43,6 +43,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=20, every=20, scale=64.0)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(documents, read(spark, sf_dir, "labels"))
@@ -80,6 +84,18 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    facts = stored.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media",
+    )
+    return media.load(facts).select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return placed.select(
@@ -87,6 +103,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = keep(warc.write_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html")), "warc")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
@@ -94,11 +115,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_topk": op3_topk,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_media_columns": op7_media_columns,
     "op8_sharding": op8_sharding,
+    "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS units FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.units, c.units)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}

@@ -9,7 +9,9 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -17,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 import signalloom
 from signalloom.session import materialize
 
-__all__ = ["append_columns", "dense_ranks", "keep", "materialize", "read", "release", "ship", "without"]
+__all__ = ["append_columns", "dense_ranks", "keep", "materialize", "pack", "read", "release", "ship", "unpack", "without"]
 
 _shipped: set[str] = set()
 
@@ -90,6 +92,29 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """A few arrays as one compressed value."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (len(a.dtype.str), a.nbytes))], np.int64).tobytes()
+    body = b"".join(a.dtype.str.encode() for a in arrays) + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    return zstandard.compress(head + body, 1)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    sizes = np.frombuffer(data, np.int64, 2 * n, 8).tolist()
+    at = 8 * (2 * n + 1)
+    kinds = []
+    for k in sizes[::2]:
+        kinds.append(data[at : at + k].decode())
+        at += k
+    out = []
+    for kind, size in zip(kinds, sizes[1::2]):
+        out.append(np.frombuffer(data, np.dtype(kind), size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
 def dense_ranks(df: DataFrame, group: str, position: Column, order: Sequence[Column], out: str, buckets: int) -> DataFrame:
     """Gap-free ranks from 0 inside ``group`` by (position, order), without one task per group.
 
