@@ -6,6 +6,7 @@ import gc
 import io
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -78,8 +79,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder, read it back, and let Spark delete the shuffle files that led to it."""
     stored = materialize(df, name)
     del df
-    gc.collect()
-    stored.sparkSession.sparkContext._jvm.System.gc()
+    # The first collection releases the finished query, the second one what it referred to.
+    for _ in range(2):
+        gc.collect()
+        stored.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return stored
 
 
