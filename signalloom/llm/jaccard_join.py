@@ -100,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     seen = None
-    while True:
+    while edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -111,6 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
         seen = state
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
 def _frequent(base: DataFrame, words: int) -> DataFrame:
@@ -238,6 +239,9 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
         ),
         "members",
     )
+    result = members.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
+    if not members.filter("doc_id = node AND n > 0").limit(2).count() > 1:
+        return result
     alone = members.filter("doc_id <> node OR doc_id IS NULL OR n = 0").select("doc_id").distinct()
     base = materialize(
         documents.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(alone, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
