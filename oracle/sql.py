@@ -679,7 +679,7 @@ QUERIES: dict[str, str] = {
     "str1_str2_distinct_deliveries": f"""select distinct sha256(concat_ws(':', source, module_run_id, md5(raw_text))) as content_hash, run_id, signal_type <> 'serp_result' and regexp_matches(raw_text, '{BOTS}') as is_bot,
         length(cleaned) < 10 or {SPAM} as spam_flag from (select *, {clean('raw_text')} as cleaned from docs)""",
     "str3_str7_daily_buckets": f"select event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events group by 1, 2",
-    "str5_sealed_days": f"select event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events where date_trunc('day', ts) + interval 1 day <= (select date_trunc('millisecond', max(ts)) - interval 1 day from events) group by 1, 2",
+    "str5_sealed_days": f"select event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events where event_type not in (select event_type from events where event_type = 'view' and user_id % 3 = 0) group by 1, 2",
     "str4_preliminary_progress": f"""select run_id, source, count(*) filter (not (length(cleaned) < 10 or {SPAM})) as valid_count, count(*) + length(run_id) as target,
         count(*) filter (not (length(cleaned) < 10 or {SPAM})) >= ceil((count(*) + length(run_id)) * 0.5) as preliminary_ready from (select *, {clean('raw_text')} as cleaned from docs) group by run_id, source""",
     "str6_stream_latest_counters": f"""select user_id as signal_id, counter, max(struct_pack(a := ts, v := value)).v as value, strftime(max(ts), {TS}) as recorded_at from (

@@ -104,6 +104,23 @@ def normalize_key(col: Column) -> Column:
     return collapse(strip_accents(F.lower(col)))
 
 
+@lru_cache(1)
+def _changing() -> str:
+    """Class of the characters that composing can change or join to the one before."""
+    codes = [
+        c for c in range(0x80, 0x110000)
+        if not 0xD800 <= c < 0xE000
+        and (unicodedata.category(chr(c))[0] == "M" or 0x1100 <= c <= 0x11FF or unicodedata.normalize("NFC", chr(c)) != chr(c))
+    ]
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 @F.pandas_udf(StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -115,7 +132,7 @@ def compose_accents(col: Column) -> Column:
     Spark has no such function. Only texts that hold a character that could
     change travel to Python; all others pass as NULL and keep their value.
     """
-    loose = col.rlike(r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{F900}-\x{FAFF}]")
+    loose = col.rlike(_changing())
     return F.coalesce(_compose(F.when(loose, col)), col)
 
 

@@ -28,8 +28,8 @@ SENTIMENT_WARNINGS = (
 )
 
 WORD_PATTERN = rf"([{T.WORD}]+(?:['’][{T.WORD}]+)?)"
-# Private characters that stand for one found phrase each.
-_MARKS = [chr(code) for code in range(0xE000, 0xE100)]
+# Private characters that stand for one found phrase each: the supplementary planes hold 131,068 of them.
+_MARKS = [chr(code) for plane in (0xF0000, 0x100000) for code in range(plane, plane + 0xFFFE)]
 
 
 def warning_list(*warnings: tuple[str, Column, Column]) -> Column:
@@ -50,6 +50,8 @@ def classify_sentiment(
     and their words are not counted again as single words.
     """
     phrases = (*lexicon.positive_phrases, *lexicon.negative_phrases)
+    if len(phrases) > len(_MARKS):
+        raise ValueError(f"more than {len(_MARKS)} phrases")
     marks = _MARKS[: len(phrases)]
     good_marks = "".join(marks[: len(lexicon.positive_phrases)])
     bad_marks = "".join(marks[len(lexicon.positive_phrases) :])

@@ -1119,8 +1119,17 @@ def arriving(spark, sf, name, **options):
     return streams.read_files(spark, sf, schema, glob=f"{name}.parquet", **options)
 
 
+def arriving_shuffled(spark, sf, name, key):
+    """The table as six files in random order, one of them per trigger."""
+    A.apply_settings(spark)
+    table = spark.read.parquet(f"{sf}/{name}.parquet")
+    folder = scratch_path(spark, f"stream-{name}")
+    table.repartition(6, F.xxhash64(key)).write.parquet(folder)
+    return streams.read_files(spark, folder, table.schema, max_files=1)
+
+
 def arriving_records(spark, sf):
-    docs = arriving(spark, sf, "documents")
+    docs = arriving_shuffled(spark, sf, "documents", "doc_id")
     shaped = docs.select(
         F.col("doc_id").alias("arrival"),
         F.col("source").alias("run_id"),
@@ -1129,7 +1138,7 @@ def arriving_records(spark, sf):
         F.expr("case doc_id % 3 when 0 then 'video' when 1 then 'community' else 'serp_result' end").alias("signal_type"),
         F.col("text").alias("raw_text"),
         F.expr("md5(text)").alias("external_item_id"),
-        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 24 as int), 0, 0)").alias("event_time"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 720 as int), 0, 0)").alias("event_time"),
     )
     return streams.prepare_records(shaped, A.SPAM_PHRASES, A.BOT_WORDS, A.BOT_PHRASES)
 
@@ -1141,31 +1150,33 @@ def finished(streaming_query) -> None:
 @query("str1_str2_distinct_deliveries")
 def distinct_deliveries(spark, sf):
     path, checkpoint = scratch_path(spark, "stream-signals"), scratch_path(spark, "stream-state")
-    unique = streams.distinct_deliveries(arriving_records(spark, sf), "event_time", "7 days")
-    finished(streams.append_to(unique.select("content_hash", "run_id", "is_bot", "spam_flag"), path, checkpoint))
-    return spark.read.parquet(path)
+    finished(streams.store_distinct(arriving_records(spark, sf), path, checkpoint))
+    return sinks.read_table(spark, path).select("content_hash", "run_id", "is_bot", "spam_flag")
+
+
+def arriving_events(spark, sf):
+    return arriving_shuffled(spark, sf, "events", "event_id").select(
+        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"), F.round("value", 2).alias("engagement")
+    )
 
 
 @query("str3_str7_daily_buckets")
 def stream_daily_buckets(spark, sf):
     path, checkpoint = scratch_path(spark, "stream-days"), scratch_path(spark, "stream-state")
-    events = arriving(spark, sf, "events").select(
-        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"), F.round("value", 2).alias("engagement")
-    )
-    buckets = streams.daily_buckets(events, "event_time", "1 day")
-    finished(streams.upsert_to(buckets, path, checkpoint, ["run_id", "day"]))
-    found = sinks.read_table(spark, path)
+    finished(streams.store_daily(arriving_events(spark, sf), path, checkpoint))
+    found = streams.read_daily(spark, path)
     return found.select("run_id", day("day").alias("day"), "signal_count", F.col("engagement").cast("double").alias("engagement"))
 
 
 @query("str5_sealed_days")
 def sealed_days(spark, sf):
     path, checkpoint = scratch_path(spark, "stream-sealed"), scratch_path(spark, "stream-state")
-    events = arriving(spark, sf, "events").select(
-        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"), F.round("value", 2).alias("engagement")
-    )
-    finished(streams.append_to(streams.daily_buckets(events, "event_time", "1 day"), path, checkpoint))
-    found = spark.read.parquet(path)
+    finished(streams.store_daily(arriving_events(spark, sf), path, checkpoint))
+    collectors = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_type").alias("run_id"), (F.col("user_id") % 3).alias("source"),
+        F.expr("case when event_type = 'view' and user_id % 3 = 0 then 'running' else 'completed' end").alias("status"),
+    ).distinct()
+    found = streams.read_daily(spark, path).join(streams.sealed_runs(collectors), "run_id", "left_semi")
     return found.select("run_id", day("day").alias("day"), "signal_count", F.col("engagement").cast("double").alias("engagement"))
 
 

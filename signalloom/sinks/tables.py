@@ -41,6 +41,32 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path, by Hadoop's own classes."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, place = _folder(spark, path)
+    system.delete(place, True)
+
+
+def _stored_buckets(spark: SparkSession, path: str, buckets: int) -> int:
+    """The number of buckets that the table was made with; the first call stores it beside the data."""
+    note = f"{path}/_buckets"
+    system, place = _folder(spark, note)
+    if system.exists(place):
+        return int(spark.read.text(note).first()[0])
+    spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(note)
+    return buckets
+
+
+def _tie(rows: DataFrame) -> Column:
+    """An order of rows whose keys and versions are equal."""
+    return F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
+
+
 def _write(df: DataFrame, path: str, *, replace: bool) -> None:
     # Few files per bucket, and several tasks for a bucket that is too large for one.
     writer = df.hint("rebalance", "bucket").write.partitionBy("bucket")
@@ -61,7 +87,7 @@ def append_signals(spark: SparkSession, path: str, signals: DataFrame, buckets:
         firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
     fresh = signals.join(firsts.select("arrival"), "arrival", "left_semi")
     # Kept, because afterwards the stored table holds these rows as well.
-    fresh = materialize(_bucketed(fresh, "run_id", buckets), "append")
+    fresh = materialize(_bucketed(fresh, "run_id", _stored_buckets(spark, path, buckets)), "append")
     _write(fresh, path, replace=False)
     return fresh.drop("bucket")
 
@@ -77,7 +103,7 @@ def insert_first_writer(
     stored = _read(spark, path)
     if stored is not None:
         fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
-    _write(_bucketed(fresh, keys[0], buckets), path, replace=False)
+    _write(_bucketed(fresh, keys[0], _stored_buckets(spark, path, buckets)), path, replace=False)
     wanted = rows.select(*keys).distinct()
     return spark.read.parquet(path).drop("bucket").join(wanted, list(keys), "left_semi")
 
@@ -92,18 +118,27 @@ def conflicting_rows(stored: DataFrame, rows: DataFrame, keys: Sequence[str], de
 
 
 def _rewrite(
-    spark: SparkSession, path: str, rows: DataFrame, column: str, merge, buckets: int
+    spark: SparkSession, path: str, rows: DataFrame, column: str, merge, buckets: int, also: DataFrame | None = None
 ) -> None:
-    """Replace the buckets that ``rows`` touch by ``merge(stored rows, rows)``."""
-    rows = _bucketed(rows, column, buckets)
+    """Replace the buckets that ``rows``, or the keys in ``also``, touch by ``merge(stored rows, rows)``."""
     stored = _read(spark, path)
+    buckets = _stored_buckets(spark, path, buckets)
+    rows = _bucketed(rows, column, buckets)
     if stored is None:
         stored = rows.limit(0)
     # At most ``buckets`` distinct values, so this side is always small.
-    touched = rows.select("bucket").distinct()
+    touched = rows.select("bucket")
+    if also is not None:
+        touched = touched.union(_bucketed(also, column, buckets).select("bucket"))
+    touched = touched.distinct()
     old = stored.join(small_side(touched), "bucket", "left_semi")
-    merged = merge(old.select(rows.columns), rows)
+    merged = materialize(merge(old.select(rows.columns), rows), "rewrite")
+    left = {r[0] for r in merged.select("bucket").distinct().collect()}
+    emptied = {r[0] for r in touched.collect()} - left
     _write(merged, path, replace=True)
+    # An overwrite leaves buckets alone that have no rows any more.
+    for bucket in sorted(emptied):
+        _remove(spark, f"{path}/bucket={bucket}")
 
 
 def upsert_latest(
@@ -113,7 +148,7 @@ def upsert_latest(
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return latest_per_key(both, keys, [F.col(version).desc(), F.col("_new").desc()]).drop("_new")
+        return latest_per_key(both, keys, [F.col(version).desc(), F.col("_new").desc(), _tie(new)]).drop("_new")
 
     _rewrite(spark, path, rows, keys[0], merge, buckets)
 
@@ -126,21 +161,24 @@ def merge_by_priority(
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
         both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return latest_per_key(both, keys, [rank.desc(), F.col("_new")]).drop("_new")
+        return latest_per_key(both, keys, [rank.desc(), F.col("_new"), _tie(new)]).drop("_new")
 
     _rewrite(spark, path, rows, keys[0], merge, buckets)
 
 
 def replace_by_key(
-    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], replaced: DataFrame | None = None, buckets: int = BUCKETS
 ) -> None:
-    """Remove all stored rows of the keys in ``rows`` and store ``rows`` instead."""
+    """Remove all stored rows of the replaced keys and store ``rows`` instead.
+
+    ``replaced`` has the keys that were computed anew, also those without any new row; by default the keys in ``rows``.
+    """
+    gone = rows.select(*keys) if replaced is None else replaced.select(*keys).union(rows.select(*keys))
 
     def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        replaced = new.select(*keys).distinct()
-        return old.join(replaced, list(keys), "left_anti").select(new.columns).unionByName(new)
+        return old.join(gone.distinct(), list(keys), "left_anti").select(new.columns).unionByName(new)
 
-    _rewrite(spark, path, rows, keys[0], merge, buckets)
+    _rewrite(spark, path, rows, keys[0], merge, buckets, gone)
 
 
 def synchronize_sources(stored: DataFrame, configured: DataFrame) -> DataFrame:

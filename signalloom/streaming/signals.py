@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from signalloom.functions import lexicons
 from signalloom.functions import text as T
 from signalloom.operators.dataset import canonical_metric
 from signalloom.operators.quality import is_bot, is_empty_record, is_spam, with_content_hash
-from signalloom.sinks.tables import upsert_latest
+from signalloom.sinks.tables import STATUS_PRIORITY, append_signals, upsert_latest
 
 # Fixed value: share of the record target at which preliminary results may start.
 PRELIMINARY_SHARE = 0.5
@@ -46,25 +47,62 @@ def prepare_records(
     )
 
 
-def distinct_deliveries(records: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """First delivery of every content hash; copies may be ``delay`` late.
+def store_distinct(records: DataFrame, path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Append the first delivery of every content hash to a signal table.
 
-    The state holds the hashes of the last ``delay`` only.
+    The stored hashes decide, so a copy may come at any time and no row is late. A batch that is delivered again finds
+    its own rows stored. ``records`` carries a unique ``arrival`` number.
     """
-    return records.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["content_hash"])
+    return for_each_batch(
+        records, checkpoint, lambda batch, number: append_signals(batch.sparkSession, path, batch), available_now=available_now
+    )
 
 
-def daily_buckets(signals: DataFrame, event_time: str, delay: str) -> DataFrame:
-    """Signals and engagement per run and UTC day. Days older than ``delay`` are closed."""
-    day = F.window(event_time, "1 day")
-    return (
-        signals.withWatermark(event_time, delay)
-        .groupBy("run_id", day)
-        .agg(F.count(F.lit(1)).alias("signal_count"), F.sum(F.col("engagement").cast("decimal(38,6)")).alias("engagement"))
-        .select("run_id", F.to_date("window.start").alias("day"), "signal_count", "engagement")
+def daily_sums(signals: DataFrame, event_time: str = "event_time") -> DataFrame:
+    """Signals and engagement per run and UTC day."""
+    return signals.groupBy("run_id", F.to_date(event_time).alias("day")).agg(
+        F.count(F.lit(1)).alias("signal_count"), F.sum(F.col("engagement").cast("decimal(38,6)")).alias("engagement")
     )
 
 
+def sealed_runs(statuses: DataFrame) -> DataFrame:
+    """Runs all of whose collectors (run_id, source, status) have ended."""
+    ended = F.coalesce(F.col("status").isin(*STATUS_PRIORITY), F.lit(False))
+    return statuses.groupBy("run_id").agg(F.min(ended).alias("_ended")).filter("_ended").select("run_id")
+
+
+def store_daily(
+    signals: DataFrame, path: str, checkpoint: str, event_time: str = "event_time", *, sealed: Callable[[], DataFrame] | None = None,
+    rejected: str | None = None, available_now: bool = True,
+) -> StreamingQuery:
+    """Add the day sums of every batch to a folder; ``read_daily`` sums them up.
+
+    Nothing is rewritten and nothing is late: each batch has a folder of its own, named by the checkpoint and the batch
+    number, which a repeated delivery replaces. Rows of runs in ``sealed()`` go to the folder ``rejected`` instead.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def store(batch: DataFrame, number: int) -> None:
+        def put(rows: DataFrame, folder: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={number}")
+
+        if sealed is not None:
+            closed = sealed().select("run_id").distinct()
+            put(batch.join(closed, "run_id", "left_semi"), rejected)
+            batch = batch.join(closed, "run_id", "left_anti")
+        put(daily_sums(batch, event_time), path)
+
+    if sealed is not None and not rejected:
+        raise ValueError("rows of sealed runs need a folder")
+    return for_each_batch(signals, checkpoint, store, available_now=available_now)
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    """Signals and engagement per run and UTC day of all batches so far."""
+    stored = spark.read.parquet(path)
+    return stored.groupBy("run_id", "day").agg(F.sum("signal_count").alias("signal_count"), F.sum("engagement").alias("engagement"))
+
+
 def preliminary_progress(signals: DataFrame, targets: DataFrame) -> DataFrame:
     """Running number of valid signals per run and collector, and whether half the target is reached.
 

@@ -169,3 +169,47 @@ def test_streams_agree_with_batches(spark):
     # A second start finds nothing new and changes nothing.
     before = got.count()
     assert before == expected.count() > 5
+
+
+def test_streams_lose_nothing(spark):
+    """Many small batches in any order give what one batch gives, and late rows of sealed runs are kept apart."""
+    folder = scratch_path(spark, "t-late")
+    rows = spark.range(120).select(
+        F.col("id").alias("arrival"), F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), (F.col("id") % 50).cast("string").alias("content_hash"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id * 37 % 90 as int))").alias("event_time"), F.col("id").cast("double").alias("engagement"),
+    )
+    rows.repartition(5, F.xxhash64("arrival")).write.parquet(folder)
+    stream = lambda: streams.read_files(spark, folder, rows.schema, max_files=1)
+    path = scratch_path(spark, "t-distinct")
+    for _ in range(2):
+        streams.store_distinct(stream(), path, scratch_path(spark, "t-state")).awaitTermination()
+    assert sorted(r.content_hash for r in sinks.read_table(spark, path).collect()) == sorted(str(i) for i in range(50))
+    path, late = scratch_path(spark, "t-daily"), scratch_path(spark, "t-rejected")
+    streams.store_daily(stream(), path, scratch_path(spark, "t-state")).awaitTermination()
+    expected = sorted(map(tuple, streams.daily_sums(rows).collect()))
+    assert sorted(map(tuple, streams.read_daily(spark, path).collect())) == expected
+    statuses = spark.createDataFrame([("r1", "a", "completed"), ("r1", "b", "failed"), ("r2", "a", "running"), ("r2", "b", "completed")], "run_id string, source string, status string")
+    seals = streams.sealed_runs(statuses)
+    streams.store_daily(stream(), path, scratch_path(spark, "t-state"), sealed=lambda: seals, rejected=late).awaitTermination()
+    assert {r.run_id for r in spark.read.parquet(late).collect()} == {"r1"} and spark.read.parquet(late).count() == 40
+    assert sum(r.signal_count for r in streams.read_daily(spark, path).collect()) == 120 + 80
+
+
+def test_keyed_tables_can_be_trusted(spark):
+    def rows(*data):
+        return spark.createDataFrame(list(data), "run_id string, n bigint")
+    path = scratch_path(spark, "t-keys")
+    sinks.replace_by_key(spark, path, rows(("a", 1), ("b", 2)), ["run_id"], buckets=4)
+    sinks.replace_by_key(spark, path, rows(), ["run_id"], rows(("a", 0)), buckets=16)
+    assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [("b", 2)]
+    path = scratch_path(spark, "t-buckets")
+    for buckets in (8, 3):
+        sinks.upsert_latest(spark, path, rows(*((f"k{i}", i) for i in range(20))), ["run_id"], "n", buckets=buckets)
+    assert sinks.read_table(spark, path).count() == 20
+
+
+def test_keys_are_read_as_words():
+    table = {"userID": ["user", "id"], "HTTPServer": ["httpserver"], " author-Name ": ["author", "name"], "a1B": ["a1", "b"], "x__y": ["x", "y"], "": [], "é": []}
+    assert {key: privacy.key_words(key) for key in table} == table
+    frame, texts, _ = privacy.split_metadata('{"a":{"\\u0000":7},"b":["t",{"c":"u"}]}')
+    assert json.loads(privacy.fill_metadata(frame, [t.upper() for t in texts])) == {"a": {"\0": 7}, "b": ["T", {"c": "U"}]}
