@@ -22,9 +22,7 @@ def piece_model_path(name: str = PIECES) -> str:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = spark.sparkContext.broadcast(pieces.PieceModel.load(piece_model_path()))
-    encoded = pieces.encode_texts(documents, model).drop("text")
-    decoded = pieces.decode_ids(encoded, model)
-    return decoded.select(
+    return pieces.round_trip(documents, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -22,6 +22,8 @@ from signalloom.session import materialize
 
 __all__ = ["append_columns", "dense_ranks", "keep", "materialize", "pack", "read", "release", "ship", "unpack", "without"]
 
+PIECE_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
@@ -65,12 +67,15 @@ def append_columns(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            added = function(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(n)) for n in names] + added,
-                names + [f.name for f in fields],
-            )
+        for whole in batches:
+            # Small pieces, since Python objects take several times the room of the Arrow data.
+            rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+            for batch in (whole.slice(k, rows) for k in range(0, whole.num_rows, rows)):
+                added = function(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.get_field_index(n)) for n in names] + added,
+                    names + [f.name for f in fields],
+                )
 
     return df.mapInArrow(run, StructType([*kept, *fields]))
 

@@ -27,8 +27,8 @@ from signalloom.llm.common import append_columns
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 # Entries that a Python worker remembers before it starts anew. They bound memory and do not change results.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_PAIRS = 400_000
+REMEMBERED_WORDS = 250_000
+REMEMBERED_PAIRS = 200_000
 
 
 class PieceModel:
@@ -222,11 +222,7 @@ def encode_texts(df: DataFrame, model: Broadcast, text: str = "text", ids: str =
     """
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = [model.value.encode(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(x) for x in found], out=offsets[1:])
-        values = np.concatenate(found) if found else np.empty(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+        return [_ids(batch.column(batch.schema.get_field_index(text)), model.value)]
 
     return append_columns(df, [StructField(ids, ArrayType(IntegerType()))], run)
 
@@ -236,11 +232,31 @@ def decode_ids(df: DataFrame, model: Broadcast, ids: str = "ids", text: str = "d
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         lists = batch.column(batch.schema.get_field_index(ids))
-        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        valid = lists.is_valid().to_pylist()
-        out = [
-            model.value.decode(values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(lists))
-        ]
-        return [pa.array(out, pa.string())]
+        return [_texts(lists, model.value)]
 
     return append_columns(df, [StructField(text, StringType())], run)
+
+
+def round_trip(df: DataFrame, model: Broadcast, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` of its ids in one pass, in one worker per task."""
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = _ids(batch.column(batch.schema.get_field_index(text)), model.value)
+        return [lists, _texts(lists, model.value)]
+
+    return append_columns(df, [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())], run)
+
+
+def _ids(texts: pa.Array, model: PieceModel) -> pa.ListArray:
+    found = [model.encode(t.as_py()) for t in texts]
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    values = np.concatenate(found) if found else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+
+
+def _texts(lists: pa.ListArray, model: PieceModel) -> pa.Array:
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    valid = lists.is_valid().to_pylist()
+    out = [model.decode(values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(lists))]
+    return pa.array(out, pa.string())
