@@ -154,7 +154,7 @@ class PieceModel:
                 out.append(found)
             elif self.byte_ids:
                 out.extend(self.byte_ids[b] for b in token.encode())
-            elif not out or out[-1] != self.unknown_id:
+            else:
                 out.append(self.unknown_id)
         return array("i", out).tobytes()
 
@@ -177,7 +177,12 @@ class PieceModel:
                         words.clear()
                     words[word] = ids
             parts.append(ids)
-        return np.frombuffer(b"".join(parts), np.int32)
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        if not self.byte_ids and len(ids):
+            # A run of unknown characters is one piece.
+            unknown = ids == self.unknown_id
+            ids = ids[~(unknown & np.concatenate([[False], unknown[:-1]]))]
+        return ids
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids. Bytes that are no UTF-8 become U+FFFD one by one; the added leading space goes."""

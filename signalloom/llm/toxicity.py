@@ -227,14 +227,32 @@ def learn(
         sample.unpersist()
     x = np.array([_inputs(r["load"], r["words"]) for r in sorted(points)])
     y = np.array([r["toxic"] for r in sorted(points)], float)
-    curve, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ curve)
-        curve = curve + np.clip(step, -2, 2)
+    curve = _fitted(x, y)
     return Lexicon(weights, lexicon.exceptions, tuple(float(round(c, 9)) for c in curve))
 
 
+def _fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression with a light ridge; each Newton step is halved until the loss falls."""
+    ridge = np.array([1e-3, 1e-2, 1e-2])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (ridge * w * w).sum() / 2)
+
+    curve = np.zeros(3)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+        slope = x.T @ (p - y) + ridge * curve
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), slope)
+        size, now = 1.0, loss(curve)
+        while size > 1e-9 and loss(curve - size * step) > now:
+            size /= 2
+        curve = curve - size * step
+        if size * np.abs(step).max() < 1e-9:
+            break
+    return curve
+
+
 def fold_of(doc_id: str):
     """crc32(doc_id as text) mod 4."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
