@@ -108,10 +108,10 @@ class Lexicon:
         return out
 
     def load(self, text: str | None) -> tuple[float, int]:
-        """Weight of all hits, further hits of one term counting less and less, and the number of words."""
+        """Weight of all hits, each term counting up to eight times, and the number of words."""
         folded = fold(text)
         times = Counter(t for _, t in self.hits(folded))
-        return sum(self.weights[t] * (1 + math.log(n)) for t, n in sorted(times.items())), len(folded.split())
+        return sum(self.weights[t] * min(n, 8) for t, n in sorted(times.items())), len(folded.split())
 
     def score(self, text: str | None) -> float:
         load, words = self.load(text)
