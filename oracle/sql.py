@@ -439,8 +439,8 @@ CTES |= {
           select grp, label, count(*) filter (human_label = label and predicted_label = label) as hit, count(*) filter (predicted_label = label) as predicted,
             count(*) filter (human_label = label) as support from gpairs, (values ('positive'), ('neutral'), ('negative')) v(label) group by 1, 2))""",
     # model sentiment
-    "inputs": f"""select s.signal_id, s.run_id, s.signal_no, c.language, c.label, c.score, c.confidence, substring({strip('c.cleaned_text')}, 1, 4000) as llm_text,
-          length({strip('c.cleaned_text')}) > 4000 as is_truncated, r.keyword from classified c join sealed s using (signal_id) join runs r on r.run_id = s.run_id where text_status = 'processed'""",
+    "inputs": f"""select s.signal_id, s.run_id, s.signal_no, c.language, c.label, c.score, c.confidence, {strip('c.cleaned_text')} as llm_text,
+          false as is_truncated, r.keyword from classified c join sealed s using (signal_id) join runs r on r.run_id = s.run_id where text_status = 'processed'""",
     "keyed": f"""select *, sha256('{{"input_hash":"' || sha256({strip('llm_text')}) || '","keyword_hash":"' || sha256(keyword) || '","language":"' || coalesce(language, '')
           || '","model":"model-a","prompt_hash":"abc","prompt_version":"v1","provider":"demo","response_schema_version":"1.0"}}') as cache_key from inputs""",
     "cached": "select distinct cache_key from keyed join labels on doc_id = signal_id",

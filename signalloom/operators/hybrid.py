@@ -60,16 +60,19 @@ class CostRates:
     output_per_million_usd: Decimal
 
 
-def prepare_inputs(items: DataFrame, runs: DataFrame, provider: Provider, max_chars: int = 4000) -> DataFrame:
+def prepare_inputs(items: DataFrame, runs: DataFrame, provider: Provider, max_chars: int | None = None) -> DataFrame:
     """Add the model text, whether it was cut, and the cache key.
 
     ``items`` are processed signals with cleaned_text, language and signal_no.
-    The length limit is the model's input limit.
+    Whole texts are used unless ``max_chars`` states the model's input limit;
+    the key covers exactly what the model gets.
     """
     whole = T.strip(F.col("cleaned_text"))
-    keyed = with_run(items, runs, "keyword").withColumns(
-        {"llm_text": F.substring(whole, 1, max_chars), "is_truncated": F.length(whole) > max_chars}
-    )
+    if max_chars is None:
+        model_text, is_cut = whole, F.lit(False)
+    else:
+        model_text, is_cut = F.substring(whole, 1, max_chars), F.length(whole) > max_chars
+    keyed = with_run(items, runs, "keyword").withColumns({"llm_text": model_text, "is_truncated": is_cut})
     key = identity.cache_key(
         keyword=F.col("keyword"),
         text=F.col("llm_text"),

@@ -34,8 +34,8 @@ KEYWORD_WARNINGS = (
 
 EXCLUSION = ("_exclude", "_exclude_lengths")
 
-# Sources that fit into the bits of one integer next to its sign.
-MAX_SOURCES = 62
+# Sources that share one integer as bits; more sources take further integers.
+BITS = 62
 
 # Bits of a mention's position that hold the place inside its signal.
 POSITION_BITS = 24
@@ -150,11 +150,8 @@ def keyword_inputs(
 
 
 def source_names(signals: DataFrame) -> list[str]:
-    """Sorted names of the collectors in the data: a handful, and checked to be."""
-    names = [row[0] for row in signals.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return sorted(names)
+    """Sorted names of the collectors in the data: one per platform, however many signals there are."""
+    return sorted(row[0] for row in signals.select("source").distinct().filter("source IS NOT NULL").collect())
 
 
 def keyword_mentions(
@@ -167,16 +164,16 @@ def keyword_mentions(
     """Candidate terms of all usable signals with their position in the run.
 
     ``position`` packs the signal's number in its run and the place of the term
-    in the signal into one integer, and ``source_bit`` marks the source, so
+    in the signal into one integer, and ``source_no`` numbers the source, so
     "first seen" and "seen where" are integers that a hash aggregate can keep.
     """
     usable = keyword_inputs(sealed, languages).filter(F.col("text_status") == "usable")
-    bit = F.coalesce(*[F.when(F.col("source") == name, F.lit(1 << i)) for i, name in enumerate(sources)])
-    chosen = usable.select("run_id", "signal_no", "cleaned_text", bit.cast("bigint").alias("source_bit"))
+    number = F.array_position(F.array(*[F.lit(name) for name in sources]).cast("array<string>"), F.col("source")) - 1
+    chosen = usable.select("run_id", "signal_no", "cleaned_text", number.cast("int").alias("source_no"))
     keyed = with_run(chosen, run_exclusions(runs), *EXCLUSION)
     terms = term_mentions(keyed, "cleaned_text", "_exclude", compose=compose)
     position = F.shiftleft(F.col("signal_no").cast("bigint"), POSITION_BITS) + F.col("place")
-    return terms.select("run_id", "source_bit", "place", "term", position.alias("position"))
+    return terms.select("run_id", "source_no", "place", "term", position.alias("position"))
 
 
 def keyword_table(mentions: DataFrame, runs: DataFrame, sources: list[str]) -> DataFrame:
@@ -188,11 +185,14 @@ def keyword_table(mentions: DataFrame, runs: DataFrame, sources: list[str]) -> D
     the signals whose first term this is; that is always a single word, which
     no later step drops.
     """
+    words = range(-(-len(sources) // BITS))
+    bit = F.when(F.col("source_no") >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("source_no") % BITS))
+    marked = [F.when(F.floor(F.col("source_no") / BITS) == w, bit) for w in words]
     spelled = mentions.groupBy("run_id", "term").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("position").alias("first"),
         F.count_if(F.col("place") == 0).alias("openings"),
-        F.bit_or("source_bit").alias("bits"),
+        *[F.coalesce(F.bit_or(m), F.lit(0).cast("bigint")).alias(f"bits_{w}") for w, m in zip(words, marked)],
     )
     kept = with_run(spelled, run_exclusions(runs), *EXCLUSION).filter(is_term("_exclude"))
     keyed = kept.withColumn("canonical_form", T.strip_accents(F.lower("term")))
@@ -201,10 +201,13 @@ def keyword_table(mentions: DataFrame, runs: DataFrame, sources: list[str]) -> D
         F.sum("n").alias("frequency"),
         F.min("first").alias("first"),
         F.sum("openings").alias("openings"),
-        F.bit_or("bits").alias("_bits"),
+        *[F.bit_or(f"bits_{w}").alias(f"bits_{w}") for w in words],
     )
-    seen = [F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(sources)]
-    return merged.withColumn("sources", F.array_compact(F.array(*seen))).drop("_bits")
+    seen = [
+        F.when(F.col(f"bits_{i // BITS}").bitwiseAND(F.lit(1 << i % BITS)) != 0, F.lit(name)) for i, name in enumerate(sources)
+    ]
+    found = F.array_compact(F.array(*seen)).cast("array<string>")
+    return merged.withColumn("sources", found).drop(*[f"bits_{w}" for w in words])
 
 
 def keywords_of(

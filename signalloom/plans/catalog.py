@@ -419,7 +419,7 @@ def processed_inputs(spark, sf):
     sealed = A.sealed_signals(spark, sf)
     classified = sentiment.classified_signals(sealed, A.LEXICON, A.LANGUAGES)
     processed = classified.filter(F.col("text_status") == "processed")
-    return hybrid.prepare_inputs(processed, A.runs(spark, sf), PROVIDER, max_chars=4000)
+    return hybrid.prepare_inputs(processed, A.runs(spark, sf), PROVIDER)
 
 
 @query("prj13_prj14_model_inputs")

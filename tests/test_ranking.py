@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from signalloom.operators.paging import page_per_run
 from signalloom.operators.ranking import latest_per_key, numbered, top_k
 
 
@@ -36,6 +37,14 @@ def test_top_k_reduces_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2  # once before and once after the exchange
 
 
+def test_deep_pages_split_a_hot_run(spark):
+    rows, df = hot_rows(spark)
+    found = page_per_run(df, [F.col("score").desc(), F.col("id")], limit=10, offset=2000)
+    ordered = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[1], r[2]))
+    assert [(r.row_number, r.id) for r in found.orderBy("row_number").collect()] == [(2001 + i, r[2]) for i, r in enumerate(ordered[2000:2010])]
+    assert {r.total_count for r in found.collect()} == {len(ordered)}
+
+
 def test_latest_per_key(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, v int, w string")
     assert {r.k: r.w for r in latest_per_key(df, ["k"], [F.col("v").desc()]).collect()} == {"a": "y", "b": "z"}

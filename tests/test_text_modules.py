@@ -107,6 +107,12 @@ def test_keyword_table_merges_spellings(make):
     assert [(w["code"], w["count"]) for w in totals.warnings] == [("UNSUPPORTED_LANGUAGE_SKIPPED", 1), ("NO_KEYWORDS_FOUND_SKIPPED", 1)]
 
 
+def test_any_number_of_sources(make):
+    signals = make.signals(*({"signal_id": f"{i:03}", "cleaned_text": "zed", "source": f"s{i:03}"} for i in range(140)))
+    row = one(keywords.keywords_of(dataset.seal(signals), make.runs()))
+    assert (row.frequency, row.sources) == (140, [f"s{i:03}" for i in range(140)])
+
+
 def test_most_common_spelling_is_the_first_seen_on_ties(make):
     signals = make.signals({"signal_id": "b", "cleaned_text": "ZED. zed"}, {"signal_id": "a", "cleaned_text": "zed. ZED", "source": "a-first"})
     row = one(keywords.keywords_of(dataset.seal(signals), make.runs()))
