@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ def schedule(share: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
 
 def mix(
     df: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, period: int = 256,
-    doc_id: str = "doc_id", source: str = "source",
+    doc_id: str = "doc_id", source: str = "source", also: Sequence[str] = (),
 ) -> DataFrame:
     """One row (doc_id, source, block, release, deadline, slot, position) per document; none is left out.
 
@@ -59,11 +59,11 @@ def mix(
     that it does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
     in the order of a hash of their id. A source that runs out leaves its slots to the others, in proportion, so
     ``position`` has no gaps; the bound of one block holds as long as all sources last. Repeated rows and equal ids are
-    rows like any others. An empty table gives no rows.
+    rows like any others. Columns named by ``also`` stay and order rows of equal ids. An empty table gives no rows.
     """
     spark = df.sparkSession
     rows = keep(
-        df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
+        df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *also)
         .withColumn("name", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))),
         "mix",
     )
@@ -81,7 +81,7 @@ def mix(
         "name string, turn long, start long, opens long, due long, share long",
     )
     per_source = spark.createDataFrame(sorted(share.items()), "name string, share long")
-    ranked = dense_ranks(rows, "name", F.shiftrightunsigned(F.xxhash64("doc_id"), 16), [F.col("doc_id")], "rank", BUCKETS)
+    ranked = dense_ranks(rows, "name", F.shiftrightunsigned(F.xxhash64("doc_id"), 16), [F.col("doc_id"), *map(F.col, also)], "rank", BUCKETS)
     placed = (
         ranked.join(F.broadcast(per_source), "name")
         .withColumn("block", F.floor(F.col("rank") / block))
@@ -99,7 +99,9 @@ def mix(
     inside = Window.partitionBy("round").orderBy("slot", "rank")
     return (
         placed.withColumn("local", F.row_number().over(inside) - 1).join(shifts, "round")
-        .select("doc_id", "source", "block", "release", "deadline", "slot", (F.col("local") + F.col("passed")).alias("position"))
+        .select(
+            "doc_id", "source", "block", "release", "deadline", "slot", (F.col("local") + F.col("passed")).alias("position"), *also
+        )
     )
 
 

@@ -1,6 +1,8 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import hashlib
+import math
+from collections import Counter
 
 import duckdb
 import pytest
@@ -52,3 +54,27 @@ def test_stages_take_odd_tables(spark):
     docs = spark.createDataFrame(rows, schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 5 - (name == "near_copies"), name
+
+
+def test_result_carries_the_mix(spark):
+    rows = sorted(corpus_pipeline.run(spark, FOLDER).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(len(rows)))
+    held = Counter(r["source"] for r in rows)
+    total = sum(math.sqrt(n) for n in held.values())
+    want = {s: math.sqrt(n) / total for s, n in held.items()}
+    taken = Counter()
+    for n, r in enumerate(rows, 1):
+        taken[r["source"]] += 1
+        # A block of 16 on either side, and one that the prefix cuts; the first source to run out ends the bound.
+        assert all(abs(taken[s] - w * n) < 32 for s, w in want.items())
+        if taken[r["source"]] == held[r["source"]]:
+            break
+    slots = [r["slot"] for r in rows]
+    assert slots == sorted(slots)
+
+
+def test_encoding_places_every_row(spark):
+    rows = [(i % 3 or None, f"text {i}", "en", "st"[i % 2], 6) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.encoding_stage(spark, docs, FOLDER).collect()
+    assert sorted(r["position"] for r in out) == list(range(90))
