@@ -1,23 +1,29 @@
 """Mixing of sources to target weights by Pfair scheduling of blocks.
 
 Block i of a source of weight w is released at slot floor(i / w) and due by slot ceil((i + 1) / w). Earliest deadline
-first fills every slot, so in each prefix a source is less than one block away from its weight. With weights in whole
-shares of a period the schedule repeats, and one period is all that has to be scheduled.
+first fills every slot, so in each prefix a source is less than one block away from its weight. Weights are exact: as
+whole numbers they add up to a period after which the schedule repeats. One period is scheduled, or the blocks of the
+table where they are fewer.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.llm.common import dense_ranks, keep, without
 
 MOST_SOURCES = 4096
 BUCKETS = 1 << 12
+# Slots that the driver holds at once; a longer table of slots, or of sources, is not broadcast.
+MOST_HELD = 250_000
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -31,32 +37,71 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def schedule(share: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period, earliest deadline first among the released blocks."""
+def whole_weights(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """The smallest whole numbers in the exact proportions of the weights; floats count as the decimals they print as."""
+    exact = {n: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for n, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {n: int(w * scale) for n, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {n: w // common for n, w in whole.items()}
+
+
+def slots(share: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of the first ``blocks`` of each source.
+
+    Earliest deadline first among the released blocks; slots for which no block is left stay empty.
+    """
     period = sum(share.values())
-    waiting = [(0, -(-period // c), name, 0) for name, c in share.items()]
+    waiting = [(0, -(-period // share[name]), name, 0) for name, k in blocks.items() if k]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, due, name, i = heapq.heappop(waiting)
             heapq.heappush(ready, (due, -share[name], name, i))
         due, _, name, i = heapq.heappop(ready)
-        out.append((name, i, slot, i * period // share[name], due))
-        if i + 1 < share[name]:
+        yield name, i, slot, i * period // share[name], due
+        slot += 1
+        if i + 1 < blocks[name]:
             heapq.heappush(waiting, ((i + 1) * period // share[name], -(-(i + 2) * period // share[name]), name, i + 1))
-    return out
+
+
+def schedule(share: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """The slots of one period."""
+    return list(slots(share, share))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_HELD else df
+
+
+def _slot_table(spark: SparkSession, plan: Iterator[tuple[str, int, int, int, int]], rows: int) -> DataFrame:
+    """The plan as a table, in pieces that the driver can hold."""
+    schema = pa.schema([("name", pa.string()), *((n, pa.int64()) for n in ("turn", "start", "opens", "due"))])
+    table = None
+    while True:
+        piece = list(islice(plan, MOST_HELD))
+        if table is not None and not piece:
+            return table
+        columns = list(zip(*piece)) or [()] * len(schema)
+        made = spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+        if rows > MOST_HELD:
+            made = keep(made, "slots")
+        table = made if table is None else table.union(made)
 
 
 def mix(
-    df: DataFrame, weights: Mapping[str, float] | None = None, block: int = 16, period: int = 256,
+    df: DataFrame, weights: Mapping[str, float | Fraction] | None = None, block: int = 16, period: int = 256,
     doc_id: str = "doc_id", source: str = "source", also: Sequence[str] = (),
 ) -> DataFrame:
     """One row (doc_id, source, block, release, deadline, slot, position) per document; none is left out.
 
-    ``weights`` names the target weights; by default a source weighs the square root of its number of documents. Sources
-    that it does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
+    ``weights`` names the target weights, which hold exactly (Fraction for what no decimal states); by default a source
+    weighs the square root of its number of documents. ``period`` is the number of slots whose documents are numbered
+    together, which the result does not depend on. Sources that ``weights`` does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
     in the order of a hash of their id. A source that runs out leaves its slots to the others, in proportion, so
     ``position`` has no gaps; the bound of one block holds as long as all sources last. Repeated rows and equal ids are
     rows like any others. Columns named by ``also`` stay and order rows of equal ids. An empty table gives no rows.
@@ -70,35 +115,37 @@ def mix(
     found = rows.groupBy("name").count().limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    given = {f"+{n}": float(w) for n, w in (weights or {}).items() if w > 0}
+    given = {f"+{n}": w for n, w in (weights or {}).items() if w > 0}
     least = min(given.values(), default=None)
     targets = {r["name"]: given.get(r["name"], math.sqrt(r["count"]) if least is None else least) for r in found}
-    share = shares(targets, max(period, 4 * len(targets))) if targets else {}
-    length = sum(share.values())
-    # One row per slot of the period, which is bounded by the number of sources.
-    slots = spark.createDataFrame(
-        [(n, i, s, r, d, share[n]) for n, i, s, r, d in schedule(share)],
-        "name string, turn long, start long, opens long, due long, share long",
-    )
-    per_source = spark.createDataFrame(sorted(share.items()), "name string, share long")
+    whole = whole_weights(targets)
+    blocks = {r["name"]: -(-r["count"] // block) for r in found}
+    length, held = sum(whole.values()), sum(blocks.values())
+    # Blocks of a source in the schedule, after which it starts again; the schedule of all blocks never does.
+    repeats = length <= held
+    turns, rounds = (whole, length) if repeats else (blocks, 0)
+    planned = min(length, held)
+    plan = _small(_slot_table(spark, slots(whole, turns), planned), planned)
+    per_source = spark.createDataFrame(sorted(turns.items()), "name string, turns long")
     ranked = dense_ranks(rows, "name", F.shiftrightunsigned(F.xxhash64("doc_id"), 16), [F.col("doc_id"), *map(F.col, also)], "rank", BUCKETS)
     placed = (
-        ranked.join(F.broadcast(per_source), "name")
+        ranked.join(_small(per_source, len(turns)), "name")
         .withColumn("block", F.floor(F.col("rank") / block))
-        .withColumn("round", F.floor(F.col("block") / F.col("share")))
-        .withColumn("turn", F.col("block") % F.col("share")).drop("share")
-        .join(F.broadcast(slots), ["name", "turn"])
-        .withColumn("release", F.col("round") * length + F.col("opens"))
-        .withColumn("deadline", F.col("round") * length + F.col("due"))
-        .withColumn("slot", F.col("round") * length + F.col("start"))
+        .withColumn("round", F.floor(F.col("block") / F.col("turns")))
+        .withColumn("turn", F.col("block") % F.col("turns")).drop("turns")
+        .join(plan, ["name", "turn"])
+        .withColumn("release", F.col("round") * rounds + F.col("opens"))
+        .withColumn("deadline", F.col("round") * rounds + F.col("due"))
+        .withColumn("slot", F.col("round") * rounds + F.col("start"))
+        .withColumn("stretch", F.floor(F.col("slot") / period))
     )
-    sizes = placed.groupBy("round").agg(F.count(F.lit(1)).alias("held"))
-    # One row per period of length * block documents.
-    before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("round", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("passed"))
-    inside = Window.partitionBy("round").orderBy("slot", "rank")
+    sizes = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("held"))
+    # One row per stretch of period * block documents.
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("stretch", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("passed"))
+    inside = Window.partitionBy("stretch").orderBy("slot", "rank")
     return (
-        placed.withColumn("local", F.row_number().over(inside) - 1).join(shifts, "round")
+        placed.withColumn("local", F.row_number().over(inside) - 1).join(shifts, "stretch")
         .select(
             "doc_id", "source", "block", "release", "deadline", "slot", (F.col("local") + F.col("passed")).alias("position"), *also
         )

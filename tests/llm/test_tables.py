@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -174,3 +176,36 @@ def test_mix(spark):
     ordered = mixing.in_mixed_order(df).collect()
     assert len(ordered) == len(rows) and mixing.mix(df.limit(0)).collect() == []
     assert [r["position"] for r in ordered] == sorted(r["position"] for r in ordered)
+
+
+def furthest(out, weights):
+    """Blocks of one document that a source is away from its weight at most, until one runs out."""
+    held, taken, worst = Counter(r["source"] for r in out), Counter(), 0
+    for n, r in enumerate(sorted(out, key=lambda r: r["position"]), 1):
+        taken[r["source"]] += 1
+        worst = max(worst, *(abs(taken[s] - w * n) for s, w in weights.items()))
+        if taken[r["source"]] == held[r["source"]]:
+            return worst
+
+
+@pytest.mark.parametrize(
+    "weights, each",
+    [
+        ({"a": 2, "b": 1}, {"a": 1400, "b": 700}),
+        ({"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1400, "b": 400, "c": 200}),
+        ({"a": Fraction(1, 3), **{f"s{i}": Fraction(2, 189) for i in range(63)}}, {"a": 400, **{f"s{i}": 13 for i in range(63)}}),
+        (None, {"a": 1000, "b": 501, "c": 77, "d": 3}),
+        (None, {"a": 900, "b": 400}),
+    ],
+)
+def test_prefixes_follow_the_weights(spark, monkeypatch, weights, each):
+    rows = [(k, s) for k, s in enumerate(s for s, n in each.items() for _ in range(n))]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()} if weights else {s: math.sqrt(n) for s, n in each.items()}
+    total = sum(exact.values())
+    out = mixing.mix(df, weights, block=1).collect()
+    assert furthest(out, {s: w / total for s, w in exact.items()}) < 1
+    assert sorted(r["position"] for r in out) == list(range(len(rows))) and len({r["slot"] for r in out}) == len(rows)
+    # A long schedule comes in pieces, and the length of the stretches changes nothing.
+    monkeypatch.setattr(mixing, "MOST_HELD", 300)
+    assert sorted(mixing.mix(df, weights, block=1, period=100).collect()) == sorted(out)
