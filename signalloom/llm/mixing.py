@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import dense_ranks, keep, without
 
-MOST_SOURCES = 4096
 BUCKETS = 1 << 12
 # Slots that the driver holds at once; a longer table of slots, or of sources, is not broadcast.
 MOST_HELD = 250_000
@@ -101,7 +100,7 @@ def mix(
 
     ``weights`` names the target weights, which hold exactly (Fraction for what no decimal states); by default a source
     weighs the square root of its number of documents. ``period`` is the number of slots whose documents are numbered
-    together, which the result does not depend on. Sources that ``weights`` does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
+    together, which the result does not depend on. The driver holds one entry per source, of any number. Sources that ``weights`` does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
     in the order of a hash of their id. A source that runs out leaves its slots to the others, in proportion, so
     ``position`` has no gaps; the bound of one block holds as long as all sources last. Repeated rows and equal ids are
     rows like any others. Columns named by ``also`` stay and order rows of equal ids. An empty table gives no rows.
@@ -112,9 +111,7 @@ def mix(
         .withColumn("name", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))),
         "mix",
     )
-    found = rows.groupBy("name").count().limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = rows.groupBy("name").count().collect()
     given = {f"+{n}": w for n, w in (weights or {}).items() if w > 0}
     least = min(given.values(), default=None)
     targets = {r["name"]: given.get(r["name"], math.sqrt(r["count"]) if least is None else least) for r in found}

@@ -209,3 +209,10 @@ def test_prefixes_follow_the_weights(spark, monkeypatch, weights, each):
     # A long schedule comes in pieces, and the length of the stretches changes nothing.
     monkeypatch.setattr(mixing, "MOST_HELD", 300)
     assert sorted(mixing.mix(df, weights, block=1, period=100).collect()) == sorted(out)
+
+
+def test_mix_of_many_sources(spark):
+    df = spark.createDataFrame([(k, f"host {k % 5000}") for k in range(6000)], "doc_id long, source string")
+    out = mixing.mix(df, block=1).collect()
+    assert sorted(r["position"] for r in out) == list(range(6000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
