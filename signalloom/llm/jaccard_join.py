@@ -72,15 +72,17 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(LARGEST_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def _subset_keys(values: np.ndarray, light: int, percent: int) -> list[int]:
+def _subset_keys(values: np.ndarray, light: int, percent: int) -> tuple[list[int], list[int]]:
+    """Keys of the subsets, and how many shingles each has."""
     spread = mixed(values)
-    keys = []
+    keys, held = [], []
     with np.errstate(over="ignore"):
         total = spread.sum(dtype=np.uint64)
         for c in subset_sizes(len(values), light, percent):
             left_out = [spread[list(x)].sum(dtype=np.uint64) for x in combinations(range(len(values)), len(values) - c)]
             keys.extend(mixed(total - np.array(left_out, np.uint64) + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
-    return keys
+            held += [c] * len(left_out)
+    return keys, held
 
 
 def _ordered(values: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
@@ -158,22 +160,26 @@ def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broad
 def _light_links(base: DataFrame, words: int, percent: int, light: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sizes = [], [], []
+            nodes, keys, sizes, common = [], [], [], []
             for node, values in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words)):
                 if 0 < len(values) <= light:
-                    found = _subset_keys(values, light, percent)
+                    found, held = _subset_keys(values, light, percent)
                     keys += found
+                    common += held
                     nodes += [node] * len(found)
                     sizes += [len(values)] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())], ["key", "node", "n"]
+                [pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(common, pa.int32())],
+                ["key", "node", "n", "common"],
             )
 
-    subsets = materialize(base.mapInArrow(run, "key long, node long, n int"), "subsets")
-    # All sets around one subset are linked through the smallest of them: it needs the fewest common shingles.
+    subsets = materialize(base.mapInArrow(run, "key long, node long, n int, common int"), "subsets")
+    # All sets around one subset are linked through the smallest of them: it needs the fewest common shingles. Where two
+    # sets of the group are similar by this subset, each of them is similar to the smallest one; others may not be.
     least = subsets.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     return (
         subsets.join(least, "key").filter(F.col("node") != F.col("m.node"))
+        .filter(least_common(F.col("n"), F.col("m.n"), percent) <= F.col("common"))
         .select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("n").alias("n_a"), F.col("m.n").alias("n_b")).distinct()
     )
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -148,6 +149,21 @@ def test_similar_documents_equal_brute_force(spark, words, percent):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == linked(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent, sizes, light", [(85, {6: 100, 7: 5}, 8), (80, {4: 100, 5: 10}, 6)])
+def test_short_documents_equal_brute_force(spark, percent, sizes, light):
+    assert jaccard_join.choose_boundary(sizes, percent) == light
+    rows = []
+    for size, number in sizes.items():
+        for k in range(number):
+            # Neighbours share all words but the first or the last one.
+            words = [f"v{k // 5}x{i}" for i in range(size)]
+            if k % 5:
+                words[-(k % 2)] = f"own{size}x{k}"
+            rows.append((len(rows) * 7 % 11 + 100 * len(rows), " ".join(words)))
+    got = jaccard_join.join_similar(table(spark, rows), 1, percent)
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == linked(rows, 1, percent)
+
+
 def test_similar_documents_of_odd_tables(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A B C D E F")]
     out = sorted(((r[0] or 0, r[2]) for r in jaccard_join.join_similar(table(spark, rows)).collect()), key=str)
