@@ -11,7 +11,6 @@ import math
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -33,32 +32,45 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 PREFIXES = range(4, 8)
 
 
-@lru_cache(1)
-def _folding() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
-    for code in range(0x10000):
+# Letters in signs without a decomposition: the first code of each alphabet.
+LETTER_SIGNS = (0x1F150, 0x1F170, 0x1F1E6)
+
+
+class _Folding(dict):
+    """What each character becomes, over all of Unicode, worked out when it is first met."""
+
+    def __missing__(self, code: int) -> int | str | None:
+        self[code] = found = self._fold(code)
+        return found
+
+    @staticmethod
+    def _fold(code: int) -> int | str | None:
         c = chr(code)
         if 0xD800 <= code < 0xE000:
-            continue
+            return code
         if unicodedata.category(c) in ("Mn", "Cf"):
-            table[code] = None
-        elif c in SIGNS:
-            table[code] = SIGNS[c]
-        elif c in LOOK_ALIKES:
-            table[code] = SIGNS.get(LOOK_ALIKES[c], LOOK_ALIKES[c])
-        elif not c.isalnum():
-            table[code] = " "
-        elif code > 127:
+            return None
+        if c in SIGNS:
+            return SIGNS[c]
+        if c in LOOK_ALIKES:
+            return SIGNS.get(LOOK_ALIKES[c], LOOK_ALIKES[c])
+        if code > 127:
             plain = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn").lower()
-            plain = "".join(SIGNS.get(x, LOOK_ALIKES.get(x, x)) for x in plain)
-            if plain and plain != c:
-                table[code] = plain
-    return table
+            for first in LETTER_SIGNS:
+                if first <= code < first + 26:
+                    plain = chr(ord("a") + code - first)
+            # Circled and squared letters are signs; they count as the letter.
+            if c.isalnum() or len(plain) == 1 and plain.isalpha():
+                return "".join(SIGNS.get(x, LOOK_ALIKES.get(x, x)) for x in plain) or code
+        return code if c.isalnum() else " "
+
+
+_FOLDING = _Folding()
 
 
 def fold(text: str | None) -> str:
     """Words of a text in their folded form, between single or several spaces, with one at each end."""
-    return f" {(text or '').lower().translate(_folding())} "
+    return f" {(text or '').lower().translate(_FOLDING)} "
 
 
 def _features(folded: str) -> set[str]:

@@ -183,6 +183,17 @@ def test_folding():
     assert toxicity.fold(None).split() == [] and toxicity.fold("l0ser​").split() == toxicity.fold("loser").split()
 
 
+def test_folding_reaches_all_planes():
+    def shifted(first):
+        return "".join(chr(first + ord(x) - ord("a")) for x in "idiot")
+
+    # Mathematical bold, script and sans-serif, squared, negative circled and squared, regional, circled letters.
+    for first in (0x1D400, 0x1D41A, 0x1D4D0, 0x1D5BA, 0x1F130, 0x1F150, 0x1F170, 0x1F1E6, 0x24B6, 0x24D0):
+        assert toxicity.fold(shifted(first)).split() == toxicity.fold("idiot").split(), hex(first)
+    assert toxicity.fold("id\U000e0001\U000e0101iot").split() == toxicity.fold("idiot").split()
+    assert toxicity.fold("so \U0001f600 \U00020000").split() == ["so", "\U00020000"]
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     calm = ["house", "river", "stone", "cloud", "garden", "window", "paper", "scumble"]
