@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, exact_dedup, jaccard_join, media, mixing, pieces, sharding, suffix_dedup, topk, toxicity, warc
+from signalloom.llm import chat, exact_dedup, jaccard_join, media, mixing, pieces, sharding, suffix_dedup, topk, toxicity, warc, whitening
 from signalloom.llm.common import keep, read
 
 PIECES = "piece_bpe_32k.model"
@@ -110,6 +110,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -125,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
