@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +31,13 @@ BROADCAST_FINGERPRINTS = 500_000
 HEAVY_SHARE = 1000
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Pieces of the batches with their texts as bytes, letters A to Z in lower case; a null text is empty."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], pa.Array]]:
+    """(ids, texts, digests) of pieces of the batches; letters A to Z in lower case, a null text is empty."""
     for whole in batches:
         rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
         for batch in (whole.slice(k, rows) for k in range(0, whole.num_rows, rows)):
-            text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
-            yield batch, pc.ascii_lower(text).cast(pa.large_binary())
-
-
-def _digests(texts: pa.Array) -> list[bytes]:
-    return [hashlib.sha256(memoryview(t.as_buffer())).digest() if t.is_valid else b"" for t in texts]
+            texts = [t.as_buffer().to_pybytes().lower() if t.is_valid else b"" for t in batch.column(1)]
+            yield batch.column(0), texts, pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
 
 
 def _fingerprint(bits: int):
@@ -54,8 +49,8 @@ def digested(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, digest, copies): each distinct pair of id and text, and how many rows have it."""
 
     def run(batches):
-        for batch, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(texts), pa.binary())], ["doc_id", "digest"])
+        for ids, _, digests in _texts(batches):
+            yield pa.RecordBatch.from_arrays([ids, digests], ["doc_id", "digest"])
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, digest binary").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
@@ -110,10 +105,8 @@ def verified_classes(df: DataFrame, repeated: DataFrame, rows: int, doc_id: str,
     """(digest, keep_id, group_size) of each class of equal texts among rows with a repeated fingerprint."""
 
     def run(batches):
-        for batch, texts in _texts(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_digests(texts), pa.binary()), texts.cast(pa.binary())], ["doc_id", "digest", "bytes"]
-            )
+        for ids, texts, digests in _texts(batches):
+            yield pa.RecordBatch.from_arrays([ids, digests, pa.array(texts, pa.binary())], ["doc_id", "digest", "bytes"])
 
     texts = (
         df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
