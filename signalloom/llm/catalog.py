@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, exact_dedup, jaccard_join, media, mixing, pieces, sharding, suffix_dedup, topk, toxicity, warc, whitening
+from signalloom.llm import alignment, chat, exact_dedup, jaccard_join, media, mixing, pieces, sharding, suffix_dedup, topk, toxicity, warc, whitening
 from signalloom.llm.common import keep, read
 
 PIECES = "piece_bpe_32k.model"
+BYTE_LEVEL = "byte_bpe_50k.json"
 
 
 def piece_model_path(name: str = PIECES) -> str:
@@ -114,6 +115,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=4, scale=256.0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = alignment.TokenizerPair.load(piece_model_path(BYTE_LEVEL), piece_model_path())
+    return alignment.align(read(spark, sf_dir, "documents"), spark.sparkContext.broadcast(tokenizers))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
