@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from signalloom.llm.common import materialize, pack, unpack
 
 # Bytes of text in a batch. A longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 # B ids are below this, so that a pair of ids is one long.
 WIDTH = 1 << 31
 
