@@ -101,6 +101,22 @@ def scored_cte(source: str, text: str) -> str:
     )
 
 
+def engagement_cte(source: str) -> str:
+    return f"""select run_id, source, case when grouping(source) = 1 then 'run' else 'source' end as level, count(*) filter (present > 0) as signal_count,
+          count(*) filter (present = 3) as complete_signal_count, count(*) filter (present in (1, 2)) as partial_signal_count,
+          sum(views::decimal(38,6))::double as views, count(views) as views_signal_count, sum(likes::decimal(38,6))::double as likes, count(likes) as likes_signal_count,
+          sum(comments::decimal(38,6))::double as comments, count(comments) as comments_signal_count,
+          sum(interactions::decimal(38,6))::double as interactions, count(interactions) as interactions_signal_count,
+          {rnd("sum(likes::decimal(38,6)) filter (views > 0 and likes is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and likes is not null)::double, 0)", 6)} as like_rate,
+          count(*) filter (views > 0 and likes is not null) as like_rate_signal_count,
+          {rnd("sum(comments::decimal(38,6)) filter (views > 0 and comments is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and comments is not null)::double, 0)", 6)} as comment_rate,
+          count(*) filter (views > 0 and comments is not null) as comment_rate_signal_count,
+          {rnd("sum(interactions::decimal(38,6)) filter (views > 0 and interactions is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and interactions is not null)::double, 0)", 6)} as engagement_rate,
+          count(*) filter (views > 0 and interactions is not null) as engagement_rate_signal_count,
+          {rnd("sum(present)::double / nullif(count(*) filter (present > 0) * 3, 0)", 4)} as metric_completeness
+        from {source} group by grouping sets ((run_id), (run_id, source))"""
+
+
 def terms_cte(source: str, exclude: bool) -> str:
     """Words, pairs and triples of ``source`` (columns gid, cleaned_text and, if excluding, keys)."""
     x = "nfc_normalize(cleaned_text)"
@@ -246,19 +262,7 @@ CTES: dict[str, str] = {
           from ds s left join latest l using (signal_id) where list_contains(modalities, 'engagement'))""",
     "rated": f"""select *, case when views > 0 then {rnd('likes / views', 6)} end as like_rate, case when views > 0 then {rnd('comments / views', 6)} end as comment_rate,
           case when views > 0 then {rnd('interactions / views', 6)} end as engagement_rate from recs""",
-    "eng": f"""select run_id, source, case when grouping(source) = 1 then 'run' else 'source' end as level, count(*) filter (present > 0) as signal_count,
-          count(*) filter (present = 3) as complete_signal_count, count(*) filter (present in (1, 2)) as partial_signal_count,
-          sum(views::decimal(38,6))::double as views, count(views) as views_signal_count, sum(likes::decimal(38,6))::double as likes, count(likes) as likes_signal_count,
-          sum(comments::decimal(38,6))::double as comments, count(comments) as comments_signal_count,
-          sum(interactions::decimal(38,6))::double as interactions, count(interactions) as interactions_signal_count,
-          {rnd("sum(likes::decimal(38,6)) filter (views > 0 and likes is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and likes is not null)::double, 0)", 6)} as like_rate,
-          count(*) filter (views > 0 and likes is not null) as like_rate_signal_count,
-          {rnd("sum(comments::decimal(38,6)) filter (views > 0 and comments is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and comments is not null)::double, 0)", 6)} as comment_rate,
-          count(*) filter (views > 0 and comments is not null) as comment_rate_signal_count,
-          {rnd("sum(interactions::decimal(38,6)) filter (views > 0 and interactions is not null)::double / nullif(sum(views::decimal(38,6)) filter (views > 0 and interactions is not null)::double, 0)", 6)} as engagement_rate,
-          count(*) filter (views > 0 and interactions is not null) as engagement_rate_signal_count,
-          {rnd("sum(present)::double / nullif(count(*) filter (present > 0) * 3, 0)", 4)} as metric_completeness
-        from recs group by grouping sets ((run_id), (run_id, source))""",
+    "eng": engagement_cte("recs"),
     "quality": """select run_id, sum(unsupported_count)::bigint as unsupported_observation_count, sum(invalid_count)::bigint as invalid_observation_count,
           sum(duplicate_count)::bigint as duplicate_observation_count, sum(coalesce(conflict_count, 0))::bigint as conflicting_observation_count,
           count(*) filter (present = 0) as skipped_signal_count, count(*) as applicable_count, count(*) filter (present > 0) as done,
@@ -489,6 +493,28 @@ CTES |= {
         from hits where i % 9 >= 1)""",
     "kept_hits": """select * from (select *, row_number() over (partition by page_id order by i) as pos from (
         select * from (select *, row_number() over (partition by page_id, external_item_id order by i) as copy from found_hits) where copy = 1)) where pos <= 10""",
+    "issues": f"""select doc_id, title, content, case when title = '' then content when content = '' then title else title || chr(10) || chr(10) || content end as raw from (
+        select doc_id, {clean(redact(strip('string_split(raw_text, chr(10))[1]'), ('thon', 'erin')))} as title, {clean(redact(strip('raw_text'), ('thon', 'erin')))} as content
+        from docs where regexp_matches(string_split(raw_text, chr(10))[1], '{NSP}'))""",
+    "delivered": f"""select *, {redact('raw')} as raw_text from (
+        select 'run' || doc_id % 20 as run_id, 'youtube' as source, doc_id || '-' || i as external_item_id, title || chr(10) || chr(10) || content as raw,
+          (i * 10 + 1)::double as views, case when i % 3 <> 0 then i end::double as likes, case when i % 2 = 0 then i end::double as comments, true as dated,
+          'https://www.youtube.com/watch?v=' || doc_id || '-' || i as shown_url from videos
+        union all select 'run' || doc_id % 20, 'github', doc_id::varchar, raw, null, null, case when doc_id % 3 <> 0 then doc_id % 5 end::double, true,
+          'https://github.com/redacted/repo/issues/' || doc_id from issues
+        union all select 'run' || page_id % 20 as run_id, 'serpex', external_item_id,
+          arg_min('Hit ' || link || chr(10) || chr(10) || 'about it', 'serpex/' || page_id || '/' || i), null, null, null, false,
+          arg_min('HTTPS://Example.org' || link || '#top', 'serpex/' || page_id || '/' || i) from kept_hits group by run_id, external_item_id)""",
+    "bsignals": f"select *, (length(cleaned_text) < 10 or {SPAM}) as spam_flag from (select *, {clean('raw_text')} as cleaned_text from delivered)",
+    "bscored": scored_cte("(select * from bsignals where not spam_flag)", "cleaned_text"),
+    "baspects": "select run_id, source, unnest(list_filter(["
+    + ", ".join(
+        f"case when {' or '.join(f'contains(lower(cleaned_text), {chr(39)}{t}{chr(39)})' for t in terms)} then '{name}' end" for name, terms in A.ASPECTS.items()
+    )
+    + "], lambda a: a is not null)) as aspect from bsignals where not spam_flag",
+    "brecs": """select *, coalesce(likes, comments) is not null as has_i, case when coalesce(likes, comments) is not null then coalesce(likes, 0) + coalesce(comments, 0) end as interactions,
+          (views is not null)::int + (likes is not null)::int + (comments is not null)::int as present
+        from bsignals where not spam_flag and coalesce(views, likes, comments) is not null""",
     "links": "select page_id, case page_id % 3 when 0 then upper(substr(url, 1, 9)) || substr(url, 10) when 1 then replace(url, 'http', 'ftp') else url end as u from pages",
     "requests": "select d.doc_id, run_id, language as stage, quality as revision, toxic, md5(raw_text) as input_fingerprint from labels l join docs d using (doc_id)",
     "cells": "select run_id, source, language, count(*) as n from docs group by all",
@@ -518,6 +544,13 @@ QUERIES: dict[str, str] = {
         select *, row_number() over (partition by run_id order by published_at desc nulls last, signal_id) as rn, count(*) over (partition by run_id) as total_count from signals)
         left join (select signal_id, max(struct_pack(a := recorded_at, v := value)) filter (name = 'views') as v, max(struct_pack(a := recorded_at, v := value)) filter (name = 'likes') as l,
           max(struct_pack(a := recorded_at, v := value)) filter (name = 'comments') as c from metrics group by 1) using (signal_id) where rn between 6 and 15""",
+    "src9_lim1_deep_page": f"""select 'all' as run_id, rn as row_number, total_count, signal_id, strftime(published_at, {TS}) as published_at, v.v as views, l.v as likes, c.v as comments from (
+        select *, row_number() over (order by published_at desc nulls last, signal_id) as rn, count(*) over () as total_count from signals)
+        left join (select signal_id, max(struct_pack(a := recorded_at, v := value)) filter (name = 'views') as v, max(struct_pack(a := recorded_at, v := value)) filter (name = 'likes') as l,
+          max(struct_pack(a := recorded_at, v := value)) filter (name = 'comments') as c from metrics group by 1) using (signal_id) where rn between 801 and 900""",
+    "src9_stored_page": f"""select run_id, rn as row_number, total_count, signal_id, case when dated then '2024-01-02 03:04:05' end as published_at, views, likes, comments, shown_url as url, md5(raw_text) as raw_md5 from (
+        select *, row_number() over (partition by run_id order by dated desc, signal_id) as rn, count(*) over (partition by run_id) as total_count from (
+          select *, sha256(source || ':' || run_id || '-' || source || ':' || external_item_id) as signal_id from bsignals)) where rn between 41 and 65""",
     "prj1_clean_text": f"select doc_id, {clean('raw_text')} as cleaned_text from docs",
     "flt1_flt2_flt3_record_flags": f"""select doc_id, length(cleaned) < 10 or {SPAM} as is_spam, signal_type <> 'serp_result' and regexp_matches(raw_text, '{BOTS}') as is_bot,
         not regexp_matches(raw_text, '{NSP}') or external_item_id is null as is_empty from (select *, {clean('raw_text')} as cleaned from docs)""",
@@ -623,7 +656,7 @@ QUERIES: dict[str, str] = {
     + f""" from (select run_id, sha256(concat_ws('|', 'sig', signal_id, coalesce(external_item_id, ''), source, signal_type, coalesce(language, ''), coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S.%f'), ''),
         strftime(collected_at, '%Y-%m-%dT%H:%M:%S.%f'), array_to_string(modalities, ','), trim(regexp_replace(cleaned_text, '{SP}+', ' ', 'g')))) as h from ds) group by 1) s using (run_id) left join (select run_id, count(*) as n, """
     + ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint) as s{i}" for i in range(4))
-    + """ from (select run_id, sha256(concat_ws('|', 'met', signal_id, name, value::decimal(38,6)::varchar, strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%f'))) as h
+    + """ from (select run_id, sha256(concat_ws('|', 'met', signal_id, name, (value + 0.0)::double::varchar, strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%f'))) as h
         from metrics join ds using (signal_id) where value is not null) group by 1) m using (run_id)""",
     "srt1_signal_order": "select signal_id, signal_no from sealed",
     "udf1_agg35_module_results": "select * from envelopes",
@@ -675,11 +708,30 @@ QUERIES: dict[str, str] = {
           select distinct p_type as p, p_name as s from part union select distinct p_type, p_brand from part where p_size = 1) n on n.p = o.p and n.s = o.s) o""",
     "win8_canonical_sources": "select c as source_id, count(*) as n from lineitem join (select p_partkey, min(p_partkey) over (partition by p_type, p_brand) as c from part) on p_partkey = l_partkey group by 1",
     "win10_latest_results": "select o_custkey as run_id, o_orderpriority as module, o_orderstatus as status, o_orderkey as execution_id from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey desc) as pick from orders) where pick = 1",
-    "set1_unified_records": "select 'youtube' as source, 'video' as signal_type, count(*) as n, count(*) as n_dated from videos union all select 'serpex', 'serp_result', count(*), 0 from kept_hits",
+    "set1_unified_records": """select 'youtube' as source, 'video' as signal_type, doc_id as request_id, i::bigint as item_no, doc_id || '-' || i as external_item_id, title, md5(content) as content_md5,
+          md5(title || chr(10) || chr(10) || content) as raw_md5, '2024-01-02T03:04:05Z' as published_at, 'https://www.youtube.com/watch?v=' || doc_id || '-' || i as url, null::varchar as observed_at,
+          (i * 10 + 1)::bigint as views, case when i % 3 <> 0 then i end::bigint as likes, case when i % 2 = 0 then i end::bigint as comments from videos
+        union all select 'github', 'community', doc_id, 0, doc_id::varchar, title, md5(content), md5(raw), '2024-01-02T03:04:05Z', 'https://github.com/redacted/repo/issues/' || doc_id, null, null, null,
+          case when doc_id % 3 <> 0 then doc_id % 5 end from issues
+        union all select 'serpex', 'serp_result', page_id, i, external_item_id, 'Hit ' || link, md5('about it'), md5('Hit ' || link || chr(10) || chr(10) || 'about it'), null,
+          'HTTPS://Example.org' || link || '#top', '2024-01-31T00:00:00Z', null, null, null from kept_hits""",
+    "snk1_persisted_batches": f"""select * from (select run_id, source, count(*) as signals, count(*) filter (spam_flag) as spam, count(*) filter (dated) as dated from bsignals group by all)
+        left join (select run_id, source, count(value) as metrics, sum(value) as metric_sum from (select run_id, source, unnest([views, likes, comments]) as value from bsignals) where value is not null group by all) using (run_id, source)
+        left join (select run_id, source, count(*) as sentiments, count(*) filter (label = 'positive') as positive, count(*) filter (label = 'negative') as negative,
+          sum(coalesce(score, 50.0)::decimal(38,4))::double as score_sum from bscored group by all) using (run_id, source)
+        left join (select run_id, source, count(*) as aspects from baspects group by all) using (run_id, source)""",
+    "snk1_agg7_stored_engagement": engagement_cte("brecs"),
+    "snk3_emptied_keys": """select * from lcells where source = 'youtube'
+        union all select c.* from cells c where not exists (select 1 from lcells g where g.run_id = c.run_id and g.source = c.source)""",
+    "snk8_stored_sources": """with old as (select distinct p_type as platform, p_brand as source_name from part),
+        new as (select distinct p_type as platform, p_name as source_name from part union select p_type, p_brand from part where p_size = 1)
+        select sha256(platform || ':' || source_name) as source_id, platform, source_name, 'new' as category from new
+        union all select sha256(platform || ':' || source_name), platform, source_name, 'old' from old where (platform, source_name) not in (select (platform, source_name) from new)""",
     "str1_str2_distinct_deliveries": f"""select distinct sha256(concat_ws(':', source, module_run_id, md5(raw_text))) as content_hash, run_id, signal_type <> 'serp_result' and regexp_matches(raw_text, '{BOTS}') as is_bot,
         length(cleaned) < 10 or {SPAM} as spam_flag from (select *, {clean('raw_text')} as cleaned from docs)""",
     "str3_str7_daily_buckets": f"select event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events group by 1, 2",
-    "str5_sealed_days": f"select event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events where event_type not in (select event_type from events where event_type = 'view' and user_id % 3 = 0) group by 1, 2",
+    "str5_sealed_days": f"""select case when event_id % 6 >= 4 and event_type not in (select event_type from events where event_type = 'view' and user_id % 3 = 0) then 'rejected' else 'stored' end as kind,
+        event_type as run_id, strftime(ts, {DAY}) as day, count(*) as signal_count, sum(round(value, 2)::decimal(38,6))::double as engagement from events group by all""",
     "str4_preliminary_progress": f"""select run_id, source, count(*) filter (not (length(cleaned) < 10 or {SPAM})) as valid_count, count(*) + length(run_id) as target,
         count(*) filter (not (length(cleaned) < 10 or {SPAM})) >= ceil((count(*) + length(run_id)) * 0.5) as preliminary_ready from (select *, {clean('raw_text')} as cleaned from docs) group by run_id, source""",
     "str6_stream_latest_counters": f"""select user_id as signal_id, counter, max(struct_pack(a := ts, v := value)).v as value, strftime(max(ts), {TS}) as recorded_at from (

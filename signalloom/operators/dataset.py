@@ -23,6 +23,11 @@ def moment(column: str = "published_at") -> Column:
     return F.coalesce(F.col(column), F.col("collected_at"))
 
 
+def signal_key(at: str) -> list[Column]:
+    """The canonical order of the signals of a run; ``at`` is their moment."""
+    return [F.col(at), F.col("source"), F.col("signal_id")]
+
+
 def signal_order(signals: DataFrame) -> DataFrame:
     """Number of every signal in the canonical order of its run (``signal_no``).
 
@@ -30,8 +35,7 @@ def signal_order(signals: DataFrame) -> DataFrame:
     sorted and written; texts do not take part.
     """
     keys = signals.select("run_id", "signal_id", "source", moment().alias("_moment"))
-    order = [F.col("_moment"), F.col("source"), F.col("signal_id")]
-    return numbered(keys, ["run_id"], order, "signal_no", "order").select("signal_id", "signal_no")
+    return numbered(keys, ["run_id"], signal_key("_moment"), "signal_no", "order").select("signal_id", "signal_no")
 
 
 def seal(signals: DataFrame) -> DataFrame:
@@ -134,6 +138,11 @@ def _line_sums(df: DataFrame, line: Column, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("_lines"), *sums)
 
 
+def exact_text(value: Column) -> Column:
+    """A double in as many digits as tell it from every other one; both zeros are one."""
+    return (value.cast("double") + F.lit(0.0)).cast("string")
+
+
 def fingerprint(runs: DataFrame, signals: DataFrame, metrics: DataFrame) -> DataFrame:
     """Digest of each run's analysed input, independent of row order.
 
@@ -163,7 +172,7 @@ def fingerprint(runs: DataFrame, signals: DataFrame, metrics: DataFrame) -> Data
         F.lit("met"),
         F.col("signal_id").cast("string"),
         F.col("name"),
-        F.col("value").cast("decimal(38,6)").cast("string"),
+        exact_text(F.col("value")),
         F.date_format("recorded_at", stamp),
     )
     observed = metrics.filter(F.col("value").isNotNull())

@@ -175,29 +175,17 @@ def engagement_summary(records: DataFrame) -> DataFrame:
 def rank_records(records: DataFrame) -> DataFrame:
     """Add interaction and engagement-rate ranks; unrankable records keep NULL.
 
-    Both ranks are computed over range-partitioned rows, so a run that holds a
-    large part of all signals is ranked by many tasks.
+    Both ranks are computed over range-partitioned rows, so a run that holds a large part of all signals is ranked by
+    many tasks. The records are evaluated once: the second ranking takes the written rows of the first, with its rank.
+    Unrankable records sort last, where they shift nobody.
     """
-    usable = records.filter(F.col("present_count") > 0)
-    keys = usable.select("run_id", "signal_id", "interactions", "engagement_rate", "ranking_at")
     newest = F.col("ranking_at").desc()
-    by_interactions = numbered(
-        keys.filter(F.col("interactions").isNotNull()),
-        ["run_id"],
-        [F.col("interactions").desc(), F.col("engagement_rate").desc_nulls_last(), newest, F.col("signal_id")],
-        "interaction_rank",
-        "interaction-rank",
-    )
-    by_rate = numbered(
-        keys.filter(F.col("engagement_rate").isNotNull()),
-        ["run_id"],
-        [F.col("engagement_rate").desc(), F.col("interactions").desc(), newest, F.col("signal_id")],
-        "engagement_rate_rank",
-        "rate-rank",
-    )
-    return usable.join(by_interactions.select("signal_id", "interaction_rank"), "signal_id", "left").join(
-        by_rate.select("signal_id", "engagement_rate_rank"), "signal_id", "left"
-    )
+    both = (F.col("interactions").desc_nulls_last(), F.col("engagement_rate").desc_nulls_last())
+    ranked = records.filter(F.col("present_count") > 0)
+    for value, order, out in (("interactions", both, "interaction_rank"), ("engagement_rate", both[::-1], "engagement_rate_rank")):
+        ranked = numbered(ranked, ["run_id"], [*order, newest, F.col("signal_id")], out, out.replace("_", "-"))
+        ranked = ranked.withColumn(out, F.when(F.col(value).isNotNull(), F.col(out)))
+    return ranked
 
 
 def order_records(ranked: DataFrame) -> DataFrame:

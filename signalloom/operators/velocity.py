@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import lexicons
 from signalloom.functions.rounding import clamp, exact_round
-from signalloom.operators.dataset import with_run
+from signalloom.operators.dataset import moment, signal_key, with_run
 from signalloom.operators.ranking import top_k
 from signalloom.operators.sentiment import exact_sum
+from signalloom.session import materialize, small_side
 
 # Length of the window, slopes that count as movement, strengths.
 WINDOW_DAYS = 30
@@ -94,6 +95,7 @@ def hype_metrics(signals: DataFrame, metrics: DataFrame, by: tuple[str, ...] = (
 
 
 def trending_titles(signals: DataFrame, title: Column, by: tuple[str, ...] = ("run_id", "source"), k: int = 5) -> DataFrame:
-    """The first ``k`` titles of each group in signal order."""
-    titled = signals.select(*by, "signal_no", title.alias("title")).filter(F.col("title") != "")
-    return top_k(titled, list(by), [F.col("signal_no")], k).drop("signal_no")
+    """The first ``k`` titles of each group in signal order; titles are read for these signals only."""
+    titled = signals.filter(F.coalesce(title, F.lit("")) != "").select(*{*by, "run_id", "source"}, "signal_id", moment().alias("_moment"))
+    first = materialize(top_k(titled, list(by), signal_key("_moment"), k).select(*by, "signal_id", "rank"), "titles")
+    return signals.select("signal_id", title.alias("title")).join(small_side(first), "signal_id").select(*by, "title", "rank")

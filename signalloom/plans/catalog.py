@@ -20,6 +20,7 @@ from signalloom.operators import (
 from signalloom.operators.ranking import latest_per_key
 from signalloom.plans import modules, scores
 from signalloom.session import materialize, scratch_path
+from signalloom.sinks import batches
 from signalloom.sinks import tables as sinks
 from signalloom.sources import adapter as A
 from signalloom.sources import labelled, payloads, privacy
@@ -131,8 +132,8 @@ def unique_video_ids(spark, sf):
     return payloads.unique_video_ids(responses).select("request_id", "video_id", F.col("first_no").cast("bigint").alias("first_no"))
 
 
-@query("src5_issue_records")
-def issue_records(spark, sf):
+def issue_responses(spark, sf):
+    """One response per document: the document is an issue."""
     docs = A.documents(spark, sf)
     item = F.struct(
         F.col("doc_id").alias("id"),
@@ -144,8 +145,12 @@ def issue_records(spark, sf):
         F.struct(F.lit("erin").alias("login")).alias("user"),
         F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 5).alias("comments"),
     )
-    responses = docs.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
-    records = payloads.normalize_issues(responses)
+    return docs.select(F.col("doc_id").alias("request_id"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+
+
+@query("src5_issue_records")
+def issue_records(spark, sf):
+    records = payloads.normalize_issues(issue_responses(spark, sf))
     return records.select(
         "external_item_id", "title", F.md5("content").alias("content_md5"), F.md5("raw_text").alias("raw_md5"),
         F.try_element_at("engagement", F.lit("comments")).alias("comments"), "url",
@@ -232,13 +237,34 @@ def manifests(spark, sf):
 
 @query("src9_lim1_signal_page")
 def signal_page(spark, sf):
-    found = paging.signal_page(A.signals(spark, sf), A.metrics(spark, sf), limit=10, offset=5)
-    return found.select(
+    return page_columns(paging.signal_page(A.signals(spark, sf), A.metrics(spark, sf), limit=10, offset=5))
+
+
+def page_columns(page: DataFrame) -> DataFrame:
+    return page.select(
         "run_id", F.col("row_number").cast("bigint").alias("row_number"), "total_count", "signal_id",
         stamp("published_at").alias("published_at"), "views", "likes", "comments",
     )
 
 
+@query("src9_lim1_deep_page")
+def deep_page(spark, sf):
+    """A page far down the list of all signals, which form one run here."""
+    signals = A.signals(spark, sf).withColumn("run_id", F.lit("all"))
+    return page_columns(paging.signal_page(signals, A.metrics(spark, sf), limit=100, offset=800))
+
+
+@query("src9_stored_page")
+def stored_page(spark, sf):
+    """A page of the signals that were stored batch by batch, with their links."""
+    found = delivered_batches(spark, sf)
+    page = paging.signal_page(found["signals"], found["metrics"], limit=25, offset=40)
+    return page.select(
+        "run_id", "row_number", "total_count", "signal_id", stamp("published_at").alias("published_at"), "views", "likes", "comments", "url",
+        F.md5("raw_text").alias("raw_md5"),
+    )
+
+
 # ---------------------------------------------------------------- text, filters, projections
 
 
@@ -430,7 +456,7 @@ def model_inputs(spark, sf):
 
 @query("prj16_first_snippets")
 def first_snippets(spark, sf):
-    found = paging.first_snippets(A.sealed_signals(spark, sf))
+    found = paging.first_snippets(A.dataset_signals(spark, sf))
     return found.select("run_id", F.col("snippet_no").cast("bigint").alias("snippet_no"), "signal_id")
 
 
@@ -620,15 +646,17 @@ def engagement_records(spark, sf):
     )
 
 
+ENGAGEMENT_COLUMNS = (
+    "run_id", "source", "level", "signal_count", "complete_signal_count", "partial_signal_count",
+    "views", "views_signal_count", "likes", "likes_signal_count", "comments", "comments_signal_count",
+    "interactions", "interactions_signal_count", "like_rate", "like_rate_signal_count", "comment_rate",
+    "comment_rate_signal_count", "engagement_rate", "engagement_rate_signal_count", "metric_completeness",
+)
+
+
 @query("agg7_agg8_agg9_agg10_engagement_summary")
 def engagement_summary(spark, sf):
-    found = engagement.engagement_summary(records(spark, sf))
-    return found.select(
-        "run_id", "source", "level", "signal_count", "complete_signal_count", "partial_signal_count",
-        "views", "views_signal_count", "likes", "likes_signal_count", "comments", "comments_signal_count",
-        "interactions", "interactions_signal_count", "like_rate", "like_rate_signal_count", "comment_rate",
-        "comment_rate_signal_count", "engagement_rate", "engagement_rate_signal_count", "metric_completeness",
-    )
+    return engagement.engagement_summary(records(spark, sf)).select(*ENGAGEMENT_COLUMNS)
 
 
 @query("agg11_observation_quality")
@@ -694,8 +722,7 @@ def hype_scores(spark, sf):
 @query("topk1_trending_titles")
 def trending_titles(spark, sf):
     title = F.element_at(F.split("raw_text", "\n"), 1)
-    found = velocity.trending_titles(A.sealed_signals(spark, sf), title)
-    return found
+    return velocity.trending_titles(A.dataset_signals(spark, sf), title)
 
 
 # ---------------------------------------------------------------- regions, anomalies
@@ -867,9 +894,7 @@ def collaboration_fit(spark, sf):
 @query("join9_run_evaluations")
 def run_evaluations(spark, sf):
     """The best ten evaluations of every run."""
-    found = fit.run_evaluations(fit_results(spark, sf), A.selections(spark, sf))
-    order = [F.col("collaboration_score").desc_nulls_last(), F.col("selection_id")]
-    page = paging.page_per_run(found, order, limit=10, offset=0)
+    page = fit.evaluation_page(fit_results(spark, sf), A.selections(spark, sf), limit=10, offset=0)
     return page.select("run_id", F.col("row_number").cast("bigint").alias("row_number"), "selection_id", "collaboration_score", "total_count")
 
 
@@ -999,6 +1024,65 @@ def appended_signals(spark, sf):
     return sinks.read_table(spark, path)
 
 
+def collected(records: DataFrame) -> DataFrame:
+    """Normalized records as deliveries of 20 runs, in the order of request and item."""
+    run = F.concat(F.lit("run"), (F.col("request_id") % 20).cast("string"))
+    return records.select(
+        F.concat_ws("/", "source", "request_id", "item_no").alias("arrival"), run.alias("run_id"), F.concat_ws("-", run, "source").alias("module_run_id"),
+        "source", "external_item_id", "title", "content", "raw_text", "published_at", "engagement", "url", "channel_id", "platform_metadata",
+        "signal_type", F.lit("en").alias("language"), F.lit("US").alias("country_code"),
+    )
+
+
+def delivered_batches(spark, sf):
+    """The store after two deliveries: the videos, then the issues, the search hits and all videos once more."""
+
+    def build():
+        path = scratch_path(spark, "batches")
+        videos = payloads.normalize_videos(video_responses(spark, sf))
+        issues = payloads.normalize_issues(issue_responses(spark, sf))
+        hits = payloads.normalize_search_results(search_responses(spark, sf))
+        for records in (videos, payloads.union_records(issues, hits, videos)):
+            batches.persist_batch(
+                spark, path, collected(records), recorded_at=F.lit("2024-01-31 00:00:00").cast("timestamp"), lexicon=A.LEXICON, aspects=A.ASPECTS,
+                spam_phrases=A.SPAM_PHRASES,
+            )
+        return path
+
+    return batches.stored_batches(spark, once(spark, sf, "batches", build))
+
+
+@query("snk1_persisted_batches")
+def persisted_batches(spark, sf):
+    found = delivered_batches(spark, sf)
+    by = ["run_id", "source"]
+    signals = found["signals"]
+    owner = signals.select("signal_id", "source")
+
+    def counted(name, *measures):
+        return found[name].join(owner, "signal_id").groupBy(*by).agg(*measures)
+
+    n = F.count(F.lit(1))
+    out = signals.groupBy(*by).agg(n.alias("signals"), F.count_if("spam_flag").alias("spam"), F.count("published_at").alias("dated"))
+    out = out.join(counted("metrics", n.alias("metrics"), F.sum("value").alias("metric_sum")), by, "left")
+    out = out.join(
+        counted(
+            "sentiments", n.alias("sentiments"), F.count_if(F.col("label") == "positive").alias("positive"),
+            F.count_if(F.col("label") == "negative").alias("negative"), F.sum(F.col("score").cast("decimal(38,4)")).cast("double").alias("score_sum"),
+        ),
+        by, "left",
+    )
+    return out.join(counted("aspects", n.alias("aspects")), by, "left")
+
+
+@query("snk1_agg7_stored_engagement")
+def stored_engagement(spark, sf):
+    found = delivered_batches(spark, sf)
+    signals = dataset.tag_modalities(found["signals"].filter(~F.col("spam_flag")), found["metrics"])
+    summary = engagement.engagement_summary(engagement.engagement_records(signals, engagement.latest_counters(found["metrics"])))
+    return summary.select(*ENGAGEMENT_COLUMNS)
+
+
 @query("snk2_upserted_metrics")
 def upserted_metrics(spark, sf):
     path = scratch_path(spark, "hype-table")
@@ -1023,6 +1107,19 @@ def replaced_rows(spark, sf):
     return sinks.read_table(spark, path)
 
 
+@query("snk3_emptied_keys")
+def emptied_keys(spark, sf):
+    """Keys that were computed anew lose their rows, also where nothing was found for them."""
+    path = scratch_path(spark, "geo-table")
+    docs = A.documents(spark, sf)
+    by = ["run_id", "source", "language"]
+    some = docs.join(labelled_ids(spark, sf, "doc_id"), "doc_id", "left_semi")
+    sinks.replace_by_key(spark, path, docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), ["run_id", "source"])
+    again = some.filter("source = 'youtube'").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sinks.replace_by_key(spark, path, again, ["run_id", "source"], some.select("run_id", "source"))
+    return sinks.read_table(spark, path)
+
+
 def request_rows(spark, sf):
     docs = A.documents(spark, sf)
     rows = A.table(spark, sf, "labels").join(docs, "doc_id")
@@ -1081,6 +1178,16 @@ def synchronized_sources(spark, sf):
     return sinks.synchronize_sources(old, new.unionByName(some))
 
 
+@query("snk8_stored_sources")
+def stored_sources(spark, sf):
+    path = scratch_path(spark, "source-table")
+    parts = A.table(spark, sf, "part")
+    named = lambda name, kind: parts.select(F.col("p_type").alias("platform"), F.col(name).alias("source_name"), F.lit(kind).alias("category")).distinct()
+    sinks.write_sources(spark, path, named("p_brand", "old"))
+    some = parts.filter(F.col("p_size") == 1).select(F.col("p_type").alias("platform"), F.col("p_brand").alias("source_name"), F.lit("new").alias("category"))
+    return sinks.write_sources(spark, path, named("p_name", "new").unionByName(some.distinct()))
+
+
 @query("win8_canonical_sources")
 def canonical_sources(spark, sf):
     parts = A.table(spark, sf, "part").select(
@@ -1105,27 +1212,26 @@ def latest_results(spark, sf):
 def unified_records(spark, sf):
     merged = payloads.union_records(
         payloads.normalize_videos(video_responses(spark, sf)),
+        payloads.normalize_issues(issue_responses(spark, sf)),
         payloads.normalize_search_results(search_responses(spark, sf)),
     )
-    return merged.groupBy("source", "signal_type").agg(F.count(F.lit(1)).alias("n"), F.count("published_at").alias("n_dated"))
+    return merged.select(
+        "source", "signal_type", "request_id", "item_no", "external_item_id", "title", F.md5("content").alias("content_md5"),
+        F.md5("raw_text").alias("raw_md5"), "published_at", "url", "observed_at",
+        *[F.try_element_at("engagement", F.lit(name)).alias(name) for name in ("views", "likes", "comments")],
+    )
 
 
 # ---------------------------------------------------------------- streaming
 
 
-def arriving(spark, sf, name, **options):
-    A.apply_settings(spark)
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return streams.read_files(spark, sf, schema, glob=f"{name}.parquet", **options)
-
-
 def arriving_shuffled(spark, sf, name, key):
     """The table as six files in random order, one of them per trigger."""
     A.apply_settings(spark)
     table = spark.read.parquet(f"{sf}/{name}.parquet")
     folder = scratch_path(spark, f"stream-{name}")
     table.repartition(6, F.xxhash64(key)).write.parquet(folder)
-    return streams.read_files(spark, folder, table.schema, max_files=1)
+    return streams.read_files(spark, folder, table.schema, max_files=1, origin="origin")
 
 
 def arriving_records(spark, sf):
@@ -1154,30 +1260,42 @@ def distinct_deliveries(spark, sf):
     return sinks.read_table(spark, path).select("content_hash", "run_id", "is_bot", "spam_flag")
 
 
-def arriving_events(spark, sf):
-    return arriving_shuffled(spark, sf, "events", "event_id").select(
-        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"), F.round("value", 2).alias("engagement")
+def event_rows(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("event_time"), F.round("value", 2).alias("engagement"), "origin"
     )
 
 
 @query("str3_str7_daily_buckets")
 def stream_daily_buckets(spark, sf):
-    path, checkpoint = scratch_path(spark, "stream-days"), scratch_path(spark, "stream-state")
-    finished(streams.store_daily(arriving_events(spark, sf), path, checkpoint))
+    """All files once, and all of them again under a new checkpoint."""
+    path = scratch_path(spark, "stream-days")
+    events = event_rows(arriving_shuffled(spark, sf, "events", "event_id"))
+    for _ in range(2):
+        finished(streams.store_daily(events, path, scratch_path(spark, "stream-state")))
     found = streams.read_daily(spark, path)
     return found.select("run_id", day("day").alias("day"), "signal_count", F.col("engagement").cast("double").alias("engagement"))
 
 
 @query("str5_sealed_days")
 def sealed_days(spark, sf):
-    path, checkpoint = scratch_path(spark, "stream-sealed"), scratch_path(spark, "stream-state")
-    finished(streams.store_daily(arriving_events(spark, sf), path, checkpoint))
-    collectors = spark.read.parquet(f"{sf}/events.parquet").select(
+    """Files that arrive before the seals and files that arrive after them: what is stored and what is rejected."""
+    path, checkpoint, folder = (scratch_path(spark, f"stream-{name}") for name in ("sealed", "state", "events"))
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    collectors = events.select(
         F.col("event_type").alias("run_id"), (F.col("user_id") % 3).alias("source"),
         F.expr("case when event_type = 'view' and user_id % 3 = 0 then 'running' else 'completed' end").alias("status"),
     ).distinct()
-    found = streams.read_daily(spark, path).join(streams.sealed_runs(collectors), "run_id", "left_semi")
-    return found.select("run_id", day("day").alias("day"), "signal_count", F.col("engagement").cast("double").alias("engagement"))
+    late = F.col("event_id") % 6 >= 4
+    events.filter(~late).repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    arriving_now = lambda: event_rows(streams.read_files(spark, folder, events.schema, max_files=1, origin="origin"))
+    finished(streams.store_daily(arriving_now(), path, checkpoint))
+    events.filter(late).repartition(2, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+    finished(streams.store_daily(arriving_now(), path, checkpoint, sealed=lambda: streams.sealed_runs(collectors)))
+    stored_days = streams.read_daily(spark, path).withColumn("kind", F.lit("stored"))
+    rejected = streams.daily_sums(streams.read_rejected(spark, path)).withColumn("kind", F.lit("rejected"))
+    found = stored_days.unionByName(rejected)
+    return found.select("kind", "run_id", day("day").alias("day"), "signal_count", F.col("engagement").cast("double").alias("engagement"))
 
 
 @query("str4_preliminary_progress")
@@ -1191,15 +1309,16 @@ def preliminary_progress(spark, sf):
 
 @query("str6_stream_latest_counters")
 def stream_latest_counters(spark, sf):
-    path, checkpoint = scratch_path(spark, "stream-counters"), scratch_path(spark, "stream-state")
-    events = arriving(spark, sf, "events").select(
+    path = scratch_path(spark, "stream-counters")
+    events = arriving_shuffled(spark, sf, "events", "event_id").select(
         F.col("user_id").alias("signal_id"),
         F.expr("case event_type when 'view' then 'view_count' when 'click' then 'likes' when 'signup' then 'replies' else 'other' end").alias("name"),
         "value",
         F.col("ts").cast("timestamp").alias("recorded_at"),
+        "origin",
     )
-    finished(streams.upsert_to(streams.latest_counters(events), path, checkpoint, ["signal_id", "counter"]))
-    found = sinks.read_table(spark, path)
+    finished(streams.store_latest_counters(events, path, scratch_path(spark, "stream-state")))
+    found = streams.read_latest_counters(spark, path)
     return found.select("signal_id", "counter", "value", stamp("recorded_at").alias("recorded_at"))
 
 

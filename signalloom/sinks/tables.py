@@ -1,10 +1,8 @@
 """Keyed tables on Parquet: append, first writer, priority, latest, replace.
 
-A table is a folder partitioned by ``bucket``, a hash of its partition column,
-so that a change rewrites only the buckets it touches and the number of
-folders does not grow with the number of runs. A rewrite replaces its buckets
-in one commit at the end of the job and reads the old files until then, so a
-lost executor only repeats tasks. One writer per table at a time.
+Every table is a store of its own, see ``commits``: a batch writes its rows and nothing else, readers merge them under
+the rule of the table, and ``compact`` merges them for good. Batches of a stream carry its name and their number, so a
+batch that is delivered again changes nothing.
 """
 
 from __future__ import annotations
@@ -13,83 +11,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from signalloom.operators.ranking import latest_per_key
-from signalloom.session import materialize, small_side
+from signalloom.sinks.commits import BUCKETS, STATUS_PRIORITY, Rows, Rule, Store
+from signalloom.sinks.membership import parts_that_hit
 
-BUCKETS = 64
+__all__ = [
+    "BUCKETS", "STATUS_PRIORITY", "append_signals", "compact", "conflicting_rows", "insert_first_writer", "merge_by_priority",
+    "read_table", "replace_by_key", "synchronize_sources", "upsert_latest", "upsert_newest", "write_keyword_export", "write_sources",
+]
 
-# Which stored status a new one may replace.
-STATUS_PRIORITY = {"failed": 0, "skipped": 1, "completed": 2}
+TABLE = "rows"
 
 
-def _bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int"))
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that count, or None before the first write."""
+    return Store(spark, path).read(TABLE)
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """The table without its bucket column, or None before the first write."""
-    stored = _read(spark, path)
-    return None if stored is None else stored.drop("bucket")
+def compact(spark: SparkSession, path: str) -> None:
+    """Merge the batches of a table into one and delete what no reader needs any more."""
+    store = Store(spark, path)
+    store.compact()
+    store.expire()
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def unknown(store: Store, table: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not stored. Only commits whose filter hits are read."""
+    known = parts_that_hit(store, table, rows, keys)
+    if not known:
+        return rows
+    return rows.join(store.rows(table, known).select(*keys), list(keys), "left_anti")
 
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path, and the path, by Hadoop's own classes."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    system, place = _folder(spark, path)
-    system.delete(place, True)
-
-
-def _stored_buckets(spark: SparkSession, path: str, buckets: int) -> int:
-    """The number of buckets that the table was made with; the first call stores it beside the data."""
-    note = f"{path}/_buckets"
-    system, place = _folder(spark, note)
-    if system.exists(place):
-        return int(spark.read.text(note).first()[0])
-    spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(note)
-    return buckets
-
-
-def _tie(rows: DataFrame) -> Column:
-    """An order of rows whose keys and versions are equal."""
-    return F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])
-
-
-def _write(df: DataFrame, path: str, *, replace: bool) -> None:
-    # Few files per bucket, and several tasks for a bucket that is too large for one.
-    writer = df.hint("rebalance", "bucket").write.partitionBy("bucket")
-    if replace:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        writer.mode("append").parquet(path)
-
-
-def append_signals(spark: SparkSession, path: str, signals: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def append_signals(
+    spark: SparkSession, path: str, signals: DataFrame, buckets: int = BUCKETS, batch: tuple[str, int] | None = None
+) -> DataFrame:
     """Append signals whose content hash is neither stored nor seen earlier in the batch.
 
     ``signals`` carries a unique ``arrival`` number. Returns the appended rows.
     """
-    firsts = signals.groupBy("content_hash").agg(F.min("arrival").alias("arrival"))
-    stored = _read(spark, path)
-    if stored is not None:
-        firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
-    fresh = signals.join(firsts.select("arrival"), "arrival", "left_semi")
-    # Kept, because afterwards the stored table holds these rows as well.
-    fresh = materialize(_bucketed(fresh, "run_id", _stored_buckets(spark, path, buckets)), "append")
-    _write(fresh, path, replace=False)
-    return fresh.drop("bucket")
+    store, keys = Store(spark, path), ["content_hash"]
+    firsts = unknown(store, TABLE, signals.groupBy(*keys).agg(F.min("arrival").alias("arrival")), keys)
+    fresh = signals.join(firsts.select("arrival"), "arrival", "left_semi").select(*signals.columns)
+    number = store.commit({TABLE: Rows(fresh, Rule("first", tuple(keys)), "run_id", buckets)}, batch=batch)
+    return store.rows(TABLE, [p for p in store.parts(TABLE) if p.number == number]).drop("commit_no")
 
 
 def insert_first_writer(
@@ -99,13 +65,11 @@ def insert_first_writer(
 
     Returns the canonical stored row of every key in ``rows``.
     """
-    fresh = latest_per_key(rows, keys, [order])
-    stored = _read(spark, path)
-    if stored is not None:
-        fresh = fresh.join(stored.select(*keys), list(keys), "left_anti")
-    _write(_bucketed(fresh, keys[0], _stored_buckets(spark, path, buckets)), path, replace=False)
+    store = Store(spark, path)
+    fresh = unknown(store, TABLE, latest_per_key(rows, keys, [order]), keys).select(*rows.columns)
+    store.commit({TABLE: Rows(fresh, Rule("first", tuple(keys)), keys[0], buckets)})
     wanted = rows.select(*keys).distinct()
-    return spark.read.parquet(path).drop("bucket").join(wanted, list(keys), "left_semi")
+    return store.rows(TABLE, parts_that_hit(store, TABLE, wanted, keys)).drop("commit_no").join(wanted, list(keys), "left_semi")
 
 
 def conflicting_rows(stored: DataFrame, rows: DataFrame, keys: Sequence[str], definition: Sequence[str]) -> DataFrame:
@@ -117,53 +81,25 @@ def conflicting_rows(stored: DataFrame, rows: DataFrame, keys: Sequence[str], de
     return rows.join(old, list(keys)).filter(differs).drop(*[f"_{c}" for c in definition])
 
 
-def _rewrite(
-    spark: SparkSession, path: str, rows: DataFrame, column: str, merge, buckets: int, also: DataFrame | None = None
-) -> None:
-    """Replace the buckets that ``rows``, or the keys in ``also``, touch by ``merge(stored rows, rows)``."""
-    stored = _read(spark, path)
-    buckets = _stored_buckets(spark, path, buckets)
-    rows = _bucketed(rows, column, buckets)
-    if stored is None:
-        stored = rows.limit(0)
-    # At most ``buckets`` distinct values, so this side is always small.
-    touched = rows.select("bucket")
-    if also is not None:
-        touched = touched.union(_bucketed(also, column, buckets).select("bucket"))
-    touched = touched.distinct()
-    old = stored.join(small_side(touched), "bucket", "left_semi")
-    merged = materialize(merge(old.select(rows.columns), rows), "rewrite")
-    left = {r[0] for r in merged.select("bucket").distinct().collect()}
-    emptied = {r[0] for r in touched.collect()} - left
-    _write(merged, path, replace=True)
-    # An overwrite leaves buckets alone that have no rows any more.
-    for bucket in sorted(emptied):
-        _remove(spark, f"{path}/bucket={bucket}")
-
-
 def upsert_latest(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], version: str, buckets: int = BUCKETS
 ) -> None:
     """One row per key: the highest version; a new row wins against an equal one."""
+    Store(spark, path).commit({TABLE: Rows(rows, Rule("latest", tuple(keys), version), keys[0], buckets)})
 
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return latest_per_key(both, keys, [F.col(version).desc(), F.col("_new").desc(), _tie(new)]).drop("_new")
 
-    _rewrite(spark, path, rows, keys[0], merge, buckets)
+def upsert_newest(
+    spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS, batch: tuple[str, int] | None = None
+) -> None:
+    """One row per key: the one of the last batch that has the key."""
+    Store(spark, path).commit({TABLE: Rows(rows, Rule("newest", tuple(keys)), keys[0], buckets)}, batch=batch)
 
 
 def merge_by_priority(
     spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], status: str = "status", buckets: int = BUCKETS
 ) -> None:
     """One row per key; a stored row is replaced only by a status of higher priority."""
-    rank = F.coalesce(*[F.when(F.col(status) == name, F.lit(value)) for name, value in STATUS_PRIORITY.items()])
-
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return latest_per_key(both, keys, [rank.desc(), F.col("_new"), _tie(new)]).drop("_new")
-
-    _rewrite(spark, path, rows, keys[0], merge, buckets)
+    Store(spark, path).commit({TABLE: Rows(rows, Rule("priority", tuple(keys), status), keys[0], buckets)})
 
 
 def replace_by_key(
@@ -172,13 +108,11 @@ def replace_by_key(
     """Remove all stored rows of the replaced keys and store ``rows`` instead.
 
     ``replaced`` has the keys that were computed anew, also those without any new row; by default the keys in ``rows``.
+    The keys are written with the rows, in one commit, and remove what earlier commits have of them.
     """
     gone = rows.select(*keys) if replaced is None else replaced.select(*keys).union(rows.select(*keys))
-
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.join(gone.distinct(), list(keys), "left_anti").select(new.columns).unionByName(new)
-
-    _rewrite(spark, path, rows, keys[0], merge, buckets, gone)
+    rule = Rule("replace", tuple(keys))
+    Store(spark, path).commit({TABLE: Rows(rows, rule, keys[0], buckets), f"{TABLE}-gone": Rows(gone.distinct())})
 
 
 def synchronize_sources(stored: DataFrame, configured: DataFrame) -> DataFrame:
@@ -200,6 +134,20 @@ def synchronize_sources(stored: DataFrame, configured: DataFrame) -> DataFrame:
     return synced.unionByName(untouched)
 
 
+def write_sources(spark: SparkSession, path: str, configured: DataFrame) -> DataFrame:
+    """Synchronize the stored source dimension with the configuration, and return it.
+
+    Only sources of the configuration are written; stored ones that it does not name keep their rows.
+    """
+    store, pair = Store(spark, path), ["platform", "source_name"]
+    kept = store.read(TABLE)
+    if kept is None:
+        kept = configured.limit(0).withColumn("source_id", F.lit(None).cast("string"))
+    synced = synchronize_sources(kept, configured).join(configured.select(*pair).distinct(), pair, "left_semi")
+    store.commit({TABLE: Rows(synced, Rule("newest", tuple(pair)))})
+    return store.read(TABLE)
+
+
 def write_keyword_export(export: DataFrame, path: str) -> None:
     """CSV files with a header, one folder per run, rows in rank order."""
     ordered = export.repartitionByRange("run_id", "Rank").sortWithinPartitions("run_id", "Rank")

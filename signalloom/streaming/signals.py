@@ -13,20 +13,26 @@ from signalloom.functions import lexicons
 from signalloom.functions import text as T
 from signalloom.operators.dataset import canonical_metric
 from signalloom.operators.quality import is_bot, is_empty_record, is_spam, with_content_hash
-from signalloom.sinks.tables import STATUS_PRIORITY, append_signals, upsert_latest
+from signalloom.session import materialize, small_side
+from signalloom.sinks.commits import STATUS_PRIORITY, Rows, Rule, Store
+from signalloom.sinks.tables import append_signals, upsert_newest
 
 # Fixed value: share of the record target at which preliminary results may start.
 PRELIMINARY_SHARE = 0.5
 
 
-def read_files(spark: SparkSession, path: str, schema, *, format: str = "parquet", max_files: int | None = None, glob: str | None = None) -> DataFrame:
-    """Folder of arriving files as a stream."""
+def read_files(
+    spark: SparkSession, path: str, schema, *, format: str = "parquet", max_files: int | None = None, glob: str | None = None,
+    origin: str | None = None,
+) -> DataFrame:
+    """Folder of arriving files as a stream. ``origin`` names a column for the file that a row came from."""
     reader = spark.readStream.schema(schema).format(format)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
+    rows = reader.load(path)
+    return rows.withColumn(origin, F.col("_metadata.file_path")) if origin else rows
 
 
 def prepare_records(
@@ -54,7 +60,10 @@ def store_distinct(records: DataFrame, path: str, checkpoint: str, *, available_
     its own rows stored. ``records`` carries a unique ``arrival`` number.
     """
     return for_each_batch(
-        records, checkpoint, lambda batch, number: append_signals(batch.sparkSession, path, batch), available_now=available_now
+        records,
+        checkpoint,
+        lambda batch, number: append_signals(batch.sparkSession, path, batch, batch=(stream_name(checkpoint), number)),
+        available_now=available_now,
     )
 
 
@@ -71,38 +80,91 @@ def sealed_runs(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("run_id").agg(F.min(ended).alias("_ended")).filter("_ended").select("run_id")
 
 
-def store_daily(
-    signals: DataFrame, path: str, checkpoint: str, event_time: str = "event_time", *, sealed: Callable[[], DataFrame] | None = None,
-    rejected: str | None = None, available_now: bool = True,
+def stream_name(checkpoint: str) -> str:
+    """What stands for a stream in the manifests of a store: its batches are numbered under one checkpoint."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+
+
+def store_accepted(
+    signals: DataFrame, path: str, checkpoint: str, summarize: Callable[[DataFrame], dict[str, Rows]], *,
+    sealed: Callable[[], DataFrame] | None = None, available_now: bool = True,
 ) -> StreamingQuery:
-    """Add the day sums of every batch to a folder; ``read_daily`` sums them up.
+    """Commit what ``summarize`` makes of every batch, and the rows that come too late, to a store.
 
-    Nothing is rewritten and nothing is late: each batch has a folder of its own, named by the checkpoint and the batch
-    number, which a repeated delivery replaces. Rows of runs in ``sealed()`` go to the folder ``rejected`` instead.
+    A run is closed for rows that arrive when it is in ``sealed()``; they go to the table ``rejected`` as they are. The
+    stream keeps no state, so nothing of a sealed run is held any longer. Where rows have an ``origin``, the file they
+    came from, its first delivery counts: files that are read again, under this checkpoint or a new one, change nothing.
+    Without it, a new checkpoint is a new stream.
     """
-    stream = hashlib.md5(checkpoint.encode()).hexdigest()
+    name = stream_name(checkpoint)
 
     def store(batch: DataFrame, number: int) -> None:
-        def put(rows: DataFrame, folder: str) -> None:
-            rows.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={number}")
-
+        spark = batch.sparkSession
+        found = Store(spark, path)
+        if found.has(name, number):
+            return
+        # Every table of the commit reads the batch.
+        arrived = batch = batch.persist()
+        tables: dict[str, Rows] = {}
+        if "origin" in batch.columns:
+            fresh, known = batch.select("origin").distinct(), found.read("origins")
+            if known is not None:
+                fresh = fresh.join(known, "origin", "left_anti")
+            fresh = materialize(fresh.coalesce(1), "origins")
+            # A row per input file of one batch, which the stream lists in the driver as well.
+            batch = batch.join(F.broadcast(fresh), "origin", "left_semi")
+            tables["origins"] = Rows(fresh)
         if sealed is not None:
-            closed = sealed().select("run_id").distinct()
-            put(batch.join(closed, "run_id", "left_semi"), rejected)
+            closed = small_side(materialize(sealed().select("run_id").distinct(), "sealed"))
+            tables["rejected"] = Rows(batch.join(closed, "run_id", "left_semi"))
             batch = batch.join(closed, "run_id", "left_anti")
-        put(daily_sums(batch, event_time), path)
+        found.commit({**summarize(batch), **tables}, batch=(name, number))
+        arrived.unpersist()
 
-    if sealed is not None and not rejected:
-        raise ValueError("rows of sealed runs need a folder")
     return for_each_batch(signals, checkpoint, store, available_now=available_now)
 
 
+def store_daily(
+    signals: DataFrame, path: str, checkpoint: str, event_time: str = "event_time", *, sealed: Callable[[], DataFrame] | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Add the day sums of every batch to a store; ``read_daily`` sums them up, ``read_rejected`` has the late rows."""
+    return store_accepted(
+        signals, path, checkpoint, lambda batch: {"days": Rows(daily_sums(batch, event_time))}, sealed=sealed, available_now=available_now
+    )
+
+
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """Signals and engagement per run and UTC day of all batches so far."""
-    stored = spark.read.parquet(path)
+    stored = Store(spark, path).read("days")
     return stored.groupBy("run_id", "day").agg(F.sum("signal_count").alias("signal_count"), F.sum("engagement").alias("engagement"))
 
 
+def read_rejected(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of sealed runs that came after the seal, or None if no batch was checked for them."""
+    return Store(spark, path).read("rejected")
+
+
+def store_latest_counters(
+    metrics: DataFrame, path: str, checkpoint: str, *, sealed: Callable[[], DataFrame] | None = None, available_now: bool = True
+) -> StreamingQuery:
+    """Keep the latest value per signal and canonical counter in a store; ``read_latest_counters`` merges the batches.
+
+    A batch adds its own latest values, so the stream needs no state for the signals that it has seen. With ``sealed``,
+    ``metrics`` carries ``run_id``, and rows of sealed runs are rejected.
+    """
+
+    def summarize(batch: DataFrame) -> dict[str, Rows]:
+        return {"counters": Rows(newest_counters(batch), Rule("latest", ("signal_id", "counter"), "newest"), "signal_id")}
+
+    return store_accepted(metrics, path, checkpoint, summarize, sealed=sealed, available_now=available_now)
+
+
+def read_latest_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Latest value per signal and counter of all batches; of values of one time the larger one."""
+    return Store(spark, path).read("counters").select("signal_id", "counter", F.col("newest.value").alias("value"), "newest.recorded_at")
+
+
 def preliminary_progress(signals: DataFrame, targets: DataFrame) -> DataFrame:
     """Running number of valid signals per run and collector, and whether half the target is reached.
 
@@ -113,35 +175,28 @@ def preliminary_progress(signals: DataFrame, targets: DataFrame) -> DataFrame:
     return counted.join(targets, ["run_id", "source"]).withColumn("preliminary_ready", F.col("valid_count") >= needed)
 
 
-def latest_counters(metrics: DataFrame) -> DataFrame:
-    """Latest value per signal and canonical counter, kept up to date."""
+def newest_counters(metrics: DataFrame) -> DataFrame:
+    """Per signal and canonical counter, the latest (recorded_at, value)."""
     valid = metrics.withColumn("counter", canonical_metric()).filter(F.col("counter").isNotNull() & (F.col("value") >= 0))
-    newest = F.max(F.struct(F.col("recorded_at"), F.col("value")))
-    return valid.groupBy("signal_id", "counter").agg(newest.alias("_newest")).select(
-        "signal_id", "counter", F.col("_newest.value").alias("value"), F.col("_newest.recorded_at").alias("recorded_at")
-    )
+    return valid.groupBy("signal_id", "counter").agg(F.max(F.struct("recorded_at", "value")).alias("newest"))
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Append closed rows to a Parquet folder, exactly once."""
-    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def latest_counters(metrics: DataFrame) -> DataFrame:
+    """Latest value per signal and canonical counter, kept up to date."""
+    return newest_counters(metrics).select("signal_id", "counter", F.col("newest.value").alias("value"), "newest.recorded_at")
 
 
 def upsert_to(
     stream: DataFrame, path: str, checkpoint: str, keys: list[str], *, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep the newest state of every key in a keyed table.
+    """Keep the newest state of every key in a keyed table; each batch writes the keys that it changed.
 
-    The micro-batch number is the version, so a batch that is delivered again
-    after a failure replaces its own rows and nothing else.
+    A batch that is delivered again after a failure is not written again.
     """
     return for_each_batch(
         stream,
         checkpoint,
-        lambda batch, number: upsert_latest(
-            batch.sparkSession, path, batch.withColumn("version", F.lit(number)), keys, "version"
-        ),
+        lambda batch, number: upsert_newest(batch.sparkSession, path, batch, keys, batch=(stream_name(checkpoint), number)),
         available_now=available_now,
     )
 

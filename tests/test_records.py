@@ -179,22 +179,54 @@ def test_streams_lose_nothing(spark):
         F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id * 37 % 90 as int))").alias("event_time"), F.col("id").cast("double").alias("engagement"),
     )
     rows.repartition(5, F.xxhash64("arrival")).write.parquet(folder)
-    stream = lambda: streams.read_files(spark, folder, rows.schema, max_files=1)
+    stream = lambda: streams.read_files(spark, folder, rows.schema, max_files=1, origin="origin")
     path = scratch_path(spark, "t-distinct")
     for _ in range(2):
         streams.store_distinct(stream(), path, scratch_path(spark, "t-state")).awaitTermination()
     assert sorted(r.content_hash for r in sinks.read_table(spark, path).collect()) == sorted(str(i) for i in range(50))
-    path, late = scratch_path(spark, "t-daily"), scratch_path(spark, "t-rejected")
-    streams.store_daily(stream(), path, scratch_path(spark, "t-state")).awaitTermination()
+    path, state = scratch_path(spark, "t-daily"), scratch_path(spark, "t-state")
+    streams.store_daily(stream(), path, state).awaitTermination()
     expected = sorted(map(tuple, streams.daily_sums(rows).collect()))
     assert sorted(map(tuple, streams.read_daily(spark, path).collect())) == expected
     statuses = spark.createDataFrame([("r1", "a", "completed"), ("r1", "b", "failed"), ("r2", "a", "running"), ("r2", "b", "completed")], "run_id string, source string, status string")
     seals = streams.sealed_runs(statuses)
-    streams.store_daily(stream(), path, scratch_path(spark, "t-state"), sealed=lambda: seals, rejected=late).awaitTermination()
-    assert {r.run_id for r in spark.read.parquet(late).collect()} == {"r1"} and spark.read.parquet(late).count() == 40
+    # A new checkpoint reads the same files again and changes nothing, sealed runs or not.
+    streams.store_daily(stream(), path, scratch_path(spark, "t-state"), sealed=lambda: seals).awaitTermination()
+    assert sorted(map(tuple, streams.read_daily(spark, path).collect())) == expected
+    assert streams.read_rejected(spark, path).count() == 0
+    # New files after the seal: rows of the sealed run are kept apart as they are.
+    rows.withColumn("arrival", F.col("arrival") + 1000).repartition(3, F.xxhash64("arrival")).write.mode("append").parquet(folder)
+    streams.store_daily(stream(), path, state, sealed=lambda: seals).awaitTermination()
+    late = streams.read_rejected(spark, path)
+    assert sorted(r.arrival for r in late.collect()) == [1000 + i for i in range(120) if i % 3 == 1]
     assert sum(r.signal_count for r in streams.read_daily(spark, path).collect()) == 120 + 80
 
 
+def test_latest_counters_without_state(spark):
+    folder = scratch_path(spark, "t-counters")
+    rows = spark.range(300).select(
+        F.concat(F.lit("r"), F.col("id") % 2).alias("run_id"), (F.col("id") % 14).cast("string").alias("signal_id"), F.lit("Views").alias("name"),
+        (F.col("id") * 7 % 11).cast("double").alias("value"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(id * 5 % 9 as int))").alias("recorded_at"),
+    )
+    rows.repartition(6, F.xxhash64("signal_id", "value")).write.parquet(folder)
+    read = lambda: streams.read_files(spark, folder, rows.schema, max_files=2, origin="origin")
+    path = scratch_path(spark, "t-latest")
+    for _ in range(2):
+        query = streams.store_latest_counters(read(), path, scratch_path(spark, "t-state"))
+        query.awaitTermination()
+        assert query.lastProgress is None or not query.lastProgress["stateOperators"]
+        expected = streams.latest_counters(rows)
+        got = streams.read_latest_counters(spark, path).select(expected.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    sinks.Store(spark, path).compact()
+    assert sorted(map(tuple, streams.read_latest_counters(spark, path).select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    closed = spark.createDataFrame([("r1",)], "run_id string")
+    path = scratch_path(spark, "t-latest")
+    streams.store_latest_counters(read(), path, scratch_path(spark, "t-state"), sealed=lambda: closed).awaitTermination()
+    assert {int(r.signal_id) % 2 for r in streams.read_latest_counters(spark, path).collect()} == {0}
+    assert streams.read_rejected(spark, path).count() == 150
+
+
 def test_keyed_tables_can_be_trusted(spark):
     def rows(*data):
         return spark.createDataFrame(list(data), "run_id string, n bigint")
