@@ -118,7 +118,8 @@ def _changing() -> str:
             ranges[-1][1] = c
         else:
             ranges.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+    # The first half of the intersection is one comparison, which keeps the hundreds of ranges from ASCII and Latin letters.
+    return f"[\\x{{{codes[0]:X}}}-\\x{{10FFFF}}&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]]"
 
 
 @F.pandas_udf(StringType())

@@ -37,8 +37,8 @@ EXCLUSION = ("_exclude", "_exclude_lengths")
 # Sources that share one integer as bits; more sources take further integers.
 BITS = 62
 
-# Bits of a mention's position that hold the place inside its signal.
-POSITION_BITS = 24
+# Places of the candidates of a text are below this: a text has fewer characters, and a word or phrase takes three.
+PLACES = 1 << 31
 
 
 def clean_for_extraction(col: Column) -> Column:
@@ -154,60 +154,75 @@ def source_names(signals: DataFrame) -> list[str]:
     return sorted(row[0] for row in signals.select("source").distinct().filter("source IS NOT NULL").collect())
 
 
-def keyword_mentions(
+def spellings(
     sealed: DataFrame,
     runs: DataFrame,
     sources: list[str],
     languages: tuple[str, ...] = lexicons.SUPPORTED_LANGUAGES,
     compose: bool = True,
 ) -> DataFrame:
-    """Candidate terms of all usable signals with their position in the run.
+    """Every spelling of a run's texts with its counts: the one extraction that all keyword results start from.
 
-    ``position`` packs the signal's number in its run and the place of the term
-    in the signal into one integer, and ``source_no`` numbers the source, so
-    "first seen" and "seen where" are integers that a hash aggregate can keep.
+    ``n_all`` counts the mentions in all texts; the other columns count those of usable signals. ``first`` is the
+    signal's number in its run and the place of the term in the signal as one number, ``openings`` counts the signals
+    whose first term this is, and the bits of ``bits_0``, ``bits_1``... stand for the sources. So the mentions are
+    reduced by a hash aggregate with numbers as its state. Stop phrases are still in; see :func:`is_term`.
     """
-    usable = keyword_inputs(sealed, languages).filter(F.col("text_status") == "usable")
+    usable = F.coalesce(has_modality("text"), F.lit(False)) & T.supports_language(F.col("language"), languages)
     number = F.array_position(F.array(*[F.lit(name) for name in sources]).cast("array<string>"), F.col("source")) - 1
-    chosen = usable.select("run_id", "signal_no", "cleaned_text", number.cast("int").alias("source_no"))
+    words = range(-(-len(sources) // BITS))
+    # Once per signal, not per mention.
+    marks = [
+        F.when(usable & (F.col("_source") >= w * BITS) & (F.col("_source") < (w + 1) * BITS), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_source") - w * BITS))
+        for w in words
+    ]
+    # Beyond 2**32 signals the number and the place need more than a bigint.
+    kind = "bigint" if sealed.count() < 1 << 32 else "decimal(38,0)"
+    chosen = sealed.filter(~T.is_blank(F.col("cleaned_text"))).withColumn("_source", number.cast("int")).select(
+        "run_id", "cleaned_text", F.when(usable, F.col("signal_no").cast(kind) * F.lit(PLACES).cast(kind)).alias("_base"),
+        *[F.coalesce(m, F.lit(0).cast("bigint")).alias(f"bits_{w}") for w, m in zip(words, marks)],
+    )
     keyed = with_run(chosen, run_exclusions(runs), *EXCLUSION)
-    terms = term_mentions(keyed, "cleaned_text", "_exclude", compose=compose)
-    position = F.shiftleft(F.col("signal_no").cast("bigint"), POSITION_BITS) + F.col("place")
-    return terms.select("run_id", "source_no", "place", "term", position.alias("position"))
+    mentions = term_mentions(keyed, "cleaned_text", "_exclude", compose=compose)
+    return mentions.groupBy("run_id", "term").agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count("_base").alias("n"),
+        F.min(F.col("_base") + F.col("place")).alias("first"),
+        F.count_if(F.col("_base").isNotNull() & (F.col("place") == 0)).alias("openings"),
+        *[F.bit_or(f"bits_{w}").alias(f"bits_{w}") for w in words],
+    )
 
 
-def keyword_table(mentions: DataFrame, runs: DataFrame, sources: list[str]) -> DataFrame:
-    """Frequency, sources and most common spelling per normalized term and run.
+def keyword_forms(spelled: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per run and normalized term, what all keyword results need, from :func:`spellings` in one pass.
 
-    The mentions are reduced to distinct spellings first, by a hash aggregate
-    with integer state; stop phrases are dropped and accents stripped only
-    there, once per spelling instead of once per mention. ``openings`` counts
-    the signals whose first term this is; that is always a single word, which
-    no later step drops.
+    Stop phrases are dropped and accents stripped here, once per spelling instead of once per mention. ``keyword`` is
+    the spelling that usable signals have most, the first one seen of equal ones; ``spelling`` the one that all texts
+    have most, of equal ones the longer and then the alphabetically later one. A signal's first term is always a single
+    word, which nothing drops, so ``openings`` counts signals with a term.
     """
-    words = range(-(-len(sources) // BITS))
-    bit = F.when(F.col("source_no") >= 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("source_no") % BITS))
-    marked = [F.when(F.floor(F.col("source_no") / BITS) == w, bit) for w in words]
-    spelled = mentions.groupBy("run_id", "term").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("position").alias("first"),
-        F.count_if(F.col("place") == 0).alias("openings"),
-        *[F.coalesce(F.bit_or(m), F.lit(0).cast("bigint")).alias(f"bits_{w}") for w, m in zip(words, marked)],
-    )
     kept = with_run(spelled, run_exclusions(runs), *EXCLUSION).filter(is_term("_exclude"))
+    # Terms hold single blanks only, so this is their normalized key.
     keyed = kept.withColumn("canonical_form", T.strip_accents(F.lower("term")))
-    merged = keyed.groupBy("run_id", "canonical_form").agg(
+    # Few spellings share a term, so a partial aggregate saves nothing; dealt by the term, the rows are sorted once.
+    return keyed.repartition("run_id", "canonical_form").groupBy("run_id", "canonical_form").agg(
         F.max_by("term", F.struct(F.col("n"), -F.col("first"))).alias("keyword"),
         F.sum("n").alias("frequency"),
         F.min("first").alias("first"),
         F.sum("openings").alias("openings"),
-        *[F.bit_or(f"bits_{w}").alias(f"bits_{w}") for w in words],
+        *[F.bit_or(c).alias(c) for c in spelled.columns if c.startswith("bits_")],
+        F.max_by("term", F.struct(F.col("n_all"), F.length("term"), F.col("term"))).alias("spelling"),
+        F.sum("n_all").alias("count"),
     )
+
+
+def keyword_table(forms: DataFrame, sources: list[str]) -> DataFrame:
+    """Frequency, sources and most common spelling per normalized term and run, over usable signals."""
     seen = [
         F.when(F.col(f"bits_{i // BITS}").bitwiseAND(F.lit(1 << i % BITS)) != 0, F.lit(name)) for i, name in enumerate(sources)
     ]
     found = F.array_compact(F.array(*seen)).cast("array<string>")
-    return merged.withColumn("sources", found).drop(*[f"bits_{w}" for w in words])
+    return forms.filter("frequency > 0").select("run_id", "canonical_form", "keyword", "frequency", "first", "openings", found.alias("sources"))
 
 
 def keywords_of(
@@ -215,7 +230,7 @@ def keywords_of(
 ) -> DataFrame:
     """:func:`keyword_table` of sealed signals."""
     sources = source_names(sealed)
-    return keyword_table(keyword_mentions(sealed, runs, sources, languages, compose), runs, sources)
+    return keyword_table(keyword_forms(spellings(sealed, runs, sources, languages, compose), runs), sources)
 
 
 def ranked_keywords(table: DataFrame) -> DataFrame:
@@ -296,14 +311,24 @@ def merge_keywords(spellings: DataFrame, k: int | None = 30) -> DataFrame:
         F.max_by("term", F.struct(F.col("n"), F.length("term"), F.col("term"))).alias("keyword"),
         F.sum("n").alias("count"),
     )
+    return leading_keywords(merged.drop("_key"), k)
+
+
+def merged_forms(forms: DataFrame) -> DataFrame:
+    """The same groups (run_id, keyword, count) out of :func:`keyword_forms`."""
+    return forms.select("run_id", F.col("spelling").alias("keyword"), "count")
+
+
+def leading_keywords(merged: DataFrame, k: int | None = 30) -> DataFrame:
+    """The ``k`` most counted keywords of every run with their rank, or all."""
     order = [F.col("count").desc(), F.col("keyword")]
     if k is None:
-        return numbered(merged.drop("_key"), ["run_id"], order, "rank", "merged")
-    return top_k(merged.drop("_key"), ["run_id"], order, k)
+        return numbered(merged, ["run_id"], order, "rank", "merged")
+    return top_k(merged, ["run_id"], order, k)
 
 
 def export_keywords(keywords: DataFrame, min_count: int = 9, count: str = "count") -> DataFrame:
-    """Keywords counted more than ``min_count`` times, ranked anew from 1."""
+    """Keywords counted more than ``min_count`` times, ranked from 1. Only these are sorted, so pass them unranked."""
     strong = keywords.filter(F.col(count) > min_count).drop("rank")
     ranked = numbered(strong, ["run_id"], [F.col(count).desc(), F.col("keyword")], "rank", "export")
     return ranked.select(

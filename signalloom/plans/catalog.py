@@ -549,12 +549,23 @@ def daily_sentiment(spark, sf):
 # ---------------------------------------------------------------- keywords
 
 
-def keyword_table(spark, sf):
+def keyword_forms(spark, sf):
+    """The stored extraction that all keyword queries use, and the names of the sources that its bits stand for."""
+
     def build():
-        found = keywords.keywords_of(A.sealed_signals(spark, sf), A.runs(spark, sf), A.LANGUAGES)
-        return materialize(found, "keywords")
+        sources = keywords.source_names(A.dataset_signals(spark, sf))
+        spelled = keywords.spellings(A.sealed_signals(spark, sf), A.runs(spark, sf), sources, A.LANGUAGES)
+        return materialize(keywords.keyword_forms(spelled, A.runs(spark, sf)), "keyword-forms"), sources
+
+    return once(spark, sf, "keyword-forms", build)
+
+
+def keyword_table(spark, sf):
+    return keywords.keyword_table(*keyword_forms(spark, sf))
+
 
-    return once(spark, sf, "keywords", build)
+def merged_counts(spark, sf):
+    return keywords.merged_forms(keyword_forms(spark, sf)[0])
 
 
 @query("scl4_win11_terms")
@@ -591,7 +602,7 @@ def keyword_totals(spark, sf):
 
 @query("agg5_topk3_merged_keywords")
 def merged_keywords(spark, sf):
-    found = keywords.merge_keywords(keywords.spelling_counts(A.signals(spark, sf), A.runs(spark, sf)))
+    found = keywords.leading_keywords(merged_counts(spark, sf))
     return found.select("run_id", F.col("rank").cast("bigint").alias("rank"), "keyword", "count")
 
 
@@ -605,7 +616,7 @@ def keyword_exclusion(spark, sf):
 
 @query("scl17_keyword_match_scores")
 def keyword_match_scores(spark, sf):
-    top = keywords.merge_keywords(keywords.spelling_counts(A.signals(spark, sf), A.runs(spark, sf)), 4)
+    top = keywords.leading_keywords(merged_counts(spark, sf), 4)
     mood = sentiment.sentiment_summary(classified(spark, sf)).select("run_id", "average_score")
     found = keywords.keyword_match_scores(top, mood)
     return found
@@ -613,7 +624,7 @@ def keyword_match_scores(spark, sf):
 
 @query("snk7_keyword_export")
 def keyword_export(spark, sf):
-    merged = keywords.merge_keywords(keywords.spelling_counts(A.signals(spark, sf), A.runs(spark, sf)), None)
+    merged = merged_counts(spark, sf)
     path = scratch_path(spark, "keyword-csv")
     sinks.write_keyword_export(keywords.export_keywords(merged), path)
     return spark.read.option("header", True).schema("Rank bigint, Keyword string, Count bigint, run_id string").csv(path)
