@@ -26,7 +26,8 @@ from signalloom.llm.common import append_columns
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-# Entries that a Python worker remembers before it starts anew. They bound memory and do not change results.
+# Entries that a Python worker remembers before it starts anew. They bound memory and do not change results; a model
+# that shares its workers with other work can be given less in ``most_words`` and ``most_pairs``.
 REMEMBERED_WORDS = 250_000
 REMEMBERED_PAIRS = 200_000
 
@@ -45,6 +46,7 @@ class PieceModel:
         if len(self.byte_ids) not in (0, 256):
             raise ValueError("byte pieces must be complete or absent")
         self.reachable = [p for p in self.ids if len(p) > 1 and self.merge(list(p)) == [p]]
+        self.most_words, self.most_pairs = REMEMBERED_WORDS, REMEMBERED_PAIRS
         self._ready = False
 
     @classmethod
@@ -114,7 +116,7 @@ class PieceModel:
         self._ready = True
 
     def _apart(self, key: tuple[str, str]) -> bool:
-        if len(self._pairs) >= REMEMBERED_PAIRS:
+        if len(self._pairs) >= self.most_pairs:
             self._pairs.clear()
         found = self._pairs[key] = self.merge(list(key[0] + key[1])) == list(key)
         return found
@@ -173,7 +175,7 @@ class PieceModel:
             if ids is None:
                 ids = self._word(word)
                 if len(word) <= 64:
-                    if len(words) >= REMEMBERED_WORDS:
+                    if len(words) >= self.most_words:
                         words.clear()
                     words[word] = ids
             parts.append(ids)

@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].partition("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].partition("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(entry.LLM_ORACLE))
