@@ -539,6 +539,13 @@ QUERIES: dict[str, str] = {
     "src7_set7_labelled_examples": f"""select 'invalid_example' as problem, count(*) as n from human where not (language in ({text_list(A.LANGUAGES)}) and regexp_matches(text, '{NSP}'))
         union all select 'duplicate_example_id', 0 union all select 'duplicate_content', coalesce(sum(n - 1), 0)::bigint from (
         select count(*) as n from human join runs using (run_id) where language in ({text_list(A.LANGUAGES)}) group by lower({strip('keyword')}), language, replace(lower(trim(regexp_replace(text, '{SP}+', ' ', 'g'))), 'ß', 'ss'))""",
+    "src7_parsed_examples": f"""select 'doc-' || example_id as example_id, nullif({strip('keyword')}, '') as keyword, language, md5(nullif({strip('text')}, '')) as text_md5, human_label,
+        language in ({text_list(A.LANGUAGES)}) and regexp_matches(text, '{NSP}') as is_valid from human join runs using (run_id)""",
+    "udf4_predictor_reports": """select 'lexicon' as classifier_name, 'v1' as classifier_version, language, human_label as actual_label, count(*) filter (label = 'positive') as positive, count(*) filter (label = 'neutral') as neutral,
+          count(*) filter (label = 'negative') as negative, count(*) filter (label is null) as missing from rated_human group by language, human_label
+        union all select 'lead-words', 'v1', language, human_label, count(*) filter (p = 'positive'), count(*) filter (p = 'neutral'), count(*) filter (p = 'negative'), count(*) filter (p is null) from (
+          select *, case when language = 'de' then null when contains(lower(left(text, 60)), 'de') then 'negative' when contains(lower(left(text, 60)), 'th') then 'positive' else 'neutral' end as p from human)
+        group by language, human_label""",
     "src8_manifests": "select 'v' || quality as dataset_version, (quality + 1)::bigint as reviewer_count, quality >= 1 as is_valid, quality >= 1 and count(*) > 1 as verified from labels group by quality",
     "src9_lim1_signal_page": f"""select run_id, rn as row_number, total_count, signal_id, strftime(published_at, {TS}) as published_at, v.v as views, l.v as likes, c.v as comments from (
         select *, row_number() over (partition by run_id order by published_at desc nulls last, signal_id) as rn, count(*) over (partition by run_id) as total_count from signals)
@@ -576,7 +583,7 @@ QUERIES: dict[str, str] = {
     "flt9_recent_window": f"select o_orderkey, strftime(o_orderdate::date + 1 - interval 30 day, {TS}) as window_start, strftime((o_orderdate::date + 1)::timestamp, {TS}) as window_end from orders",
     "prj7_timestamps": f"""select event_id, case when event_id % 5 = 4 then null else strftime(t, {TS}) end as kept_missing, strftime(t, {TS}) as always_set from (
         select event_id, case event_id % 5 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) - interval 7 hour when 2 then date_trunc('second', ts) else timestamp '2024-02-01 00:00:00' end as t from events)""",
-    "prj8_canonical_metrics": "select name, coalesce(counter, 'unsupported') as counter, count(*) as n from observed group by 1, 2",
+    "prj8_canonical_metrics": f"select signal_id, name, coalesce(counter, 'unsupported') as counter, value, strftime(recorded_at, {TS}) as recorded_at from observed",
     "prj9_country_codes": f"select signal_id, case when length(upper({strip('country_code')})) >= 2 then upper({strip('country_code')}) end as country_code from signals",
     "prj10_content_hashes": "select arrival, content_hash from hashed",
     "prj11_canonical_urls": r"""select page_id, case when lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) in ('http', 'https') then lower(regexp_extract(u, '^([A-Za-z]+://[^/?#]*)', 1)) ||
@@ -605,8 +612,8 @@ QUERIES: dict[str, str] = {
     "agg6_keyword_totals": """select t.*, t.skipped_signal_count - invalid_text_count - unsupported_language_count as no_keywords_count, e.status, e.coverage_status,
         case when t.applicable_count > 0 then processed_signal_count / t.applicable_count else 0.0 end as coverage, warnings from ktotals t join (select * from envelopes where module = 'keywords') e using (run_id)""",
     "agg5_topk3_merged_keywords": "select run_id, rank, keyword, count from mranked where rank <= 30",
-    "prj15_keyword_exclusion": f"""select run_id, count(*) as n_terms, sum(n)::bigint as n_mentions from (select run_id, term, count(*) as n from pterms t join ds s on s.signal_id = t.gid group by 1, 2) join run_keys using (run_id)
-        where not list_contains(keys, {key('term')}) group by 1""",
+    "prj15_keyword_exclusion": f"""select run_id, term, n from (select run_id, term, count(*) as n from pterms t join ds s on s.signal_id = t.gid group by 1, 2) join run_keys using (run_id)
+        where not list_contains(keys, {key('term')})""",
     "scl17_keyword_match_scores": """select m.run_id, rank, keyword, upper(keyword[1]) || keyword[2:] || ' Topic Crossover' as name, least(99, greatest(40, 65 + least(25, count * 2)
         + case when coalesce(average_score, 50.0) > 60 then 10 when coalesce(average_score, 50.0) < 40 then -10 else 0 end - (rank - 1) * 5))::bigint as match_score
         from mranked m left join sent using (run_id) where rank <= 4""",
@@ -614,7 +621,7 @@ QUERIES: dict[str, str] = {
     "win1_latest_counters": f"select signal_id, v.v as views, l.v as likes, c.v as comments, strftime(latest_metric_at, {TS}) as latest_metric_at, unsupported_count, invalid_count, duplicate_count from latest",
     "win1b_conflict_counts": "select * from conflicts",
     "scl7_scl8_engagement_records": f"""select run_id, signal_id, source, strftime(ranking_at, {TS}) as ranking_at, views, likes, comments, interactions, like_rate, comment_rate, engagement_rate,
-        {rnd('present / 3', 4)} as metric_completeness, present < 3 as is_partial from rated where present > 0""",
+        {rnd('present / 3', 4)} as metric_completeness, present < 3 as is_partial from rated""",
     "agg7_agg8_agg9_agg10_engagement_summary": "select * from eng",
     "agg11_observation_quality": "select run_id, unsupported_observation_count, invalid_observation_count, duplicate_observation_count, conflicting_observation_count, skipped_signal_count from quality",
     "win3_win4_srt2_ranked_records": """select run_id, signal_id, interactions, engagement_rate,
@@ -706,7 +713,7 @@ QUERIES: dict[str, str] = {
     "snk8_synchronized_sources": """select coalesce(o.id::varchar, sha256(p || ':' || s)) as source_id, p as platform, s as source_name, case when n then 'new' else 'old' end as category from (
         select coalesce(o.p, n.p) as p, coalesce(o.s, n.s) as s, n.p is not null as n, o.id from (select p_type as p, p_brand as s, min(p_partkey) as id from part group by 1, 2) o full join (
           select distinct p_type as p, p_name as s from part union select distinct p_type, p_brand from part where p_size = 1) n on n.p = o.p and n.s = o.s) o""",
-    "win8_canonical_sources": "select c as source_id, count(*) as n from lineitem join (select p_partkey, min(p_partkey) over (partition by p_type, p_brand) as c from part) on p_partkey = l_partkey group by 1",
+    "win8_canonical_sources": "select l_orderkey, l_linenumber::bigint as l_linenumber, c as source_id from lineitem join (select p_partkey, min(p_partkey) over (partition by p_type, p_brand) as c from part) on p_partkey = l_partkey",
     "win10_latest_results": "select o_custkey as run_id, o_orderpriority as module, o_orderstatus as status, o_orderkey as execution_id from (select *, row_number() over (partition by o_custkey, o_orderpriority order by o_orderdate desc, o_orderkey desc) as pick from orders) where pick = 1",
     "set1_unified_records": """select 'youtube' as source, 'video' as signal_type, doc_id as request_id, i::bigint as item_no, doc_id || '-' || i as external_item_id, title, md5(content) as content_md5,
           md5(title || chr(10) || chr(10) || content) as raw_md5, '2024-01-02T03:04:05Z' as published_at, 'https://www.youtube.com/watch?v=' || doc_id || '-' || i as url, null::varchar as observed_at,

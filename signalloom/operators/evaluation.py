@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions import lexicons
 from signalloom.functions import text as T
 from signalloom.functions.rounding import exact_round
-from signalloom.operators.sentiment import LABELS
+from signalloom.operators.sentiment import LABELS, classify_sentiment
+from signalloom.session import materialize
 
 # Release gate.
 RELEASE_AGREEMENT = Decimal("0.75")
@@ -63,6 +67,63 @@ def require_valid(examples: DataFrame) -> DataFrame:
     return examples.drop("is_valid")
 
 
+@dataclass(frozen=True)
+class Predictor:
+    """A classifier that can be evaluated: ``predict`` takes labelled examples without their labels and gives
+    (example_id, predicted_label, route). Examples that it leaves out, or gives no label, count as missing."""
+
+    name: str
+    version: str
+    predict: Callable[[DataFrame], DataFrame]
+
+
+def lexicon_predictor(lexicon: lexicons.Lexicon = lexicons.DEFAULT_LEXICON, version: str = "v1") -> Predictor:
+    """The lexicon classifier, which runs as plain expressions."""
+
+    def predict(examples: DataFrame) -> DataFrame:
+        return classify_sentiment(examples, "text", lexicon).select("example_id", F.col("label").alias("predicted_label"), F.lit("lexicon").alias("route"))
+
+    return Predictor("lexicon", version, predict)
+
+
+def batch_predictor(name: str, version: str, function: Callable[[pd.DataFrame], pd.Series], route: str = "model") -> Predictor:
+    """A classifier from a function of pandas batches of examples (example_id, keyword, language, text) to labels.
+
+    Each Arrow batch of a task is one call; a missing label stays missing.
+    """
+
+    def predict(examples: DataFrame) -> DataFrame:
+        given = examples.select("example_id", "keyword", "language", "text")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = pd.Series(function(batch), index=batch.index, dtype=object)
+                yield pd.DataFrame({"example_id": batch["example_id"], "predicted_label": found.where(found.notna(), None), "route": route})
+
+        kind = given.schema["example_id"].dataType.simpleString()
+        return given.mapInPandas(run, f"example_id {kind}, predicted_label string, route string").filter("predicted_label IS NOT NULL")
+
+    return Predictor(name, version, predict)
+
+
+def evaluate(labels: DataFrame, predictor: Predictor) -> DataFrame:
+    """Every example with the predictor's answer; an answer that is no label, twice given or for no example is an error."""
+    predictions = materialize(predictor.predict(labels.drop("human_label")), "predictions")
+    odd = predictions.filter(~F.col("predicted_label").isin(*LABELS)).select("example_id", F.lit("unknown_label").alias("problem"))
+    found = prediction_problems(labels, predictions).unionByName(odd).orderBy("problem", "example_id").take(1)
+    if found:
+        raise ValueError(f"{predictor.name}: {found[0]['problem']} for example {found[0]['example_id']}")
+    return matched(labels, predictions)
+
+
+def compare_predictors(labels: DataFrame, predictors: Sequence[Predictor], by: tuple[str, ...] = ()) -> DataFrame:
+    """The confusion matrix of every predictor over the same examples."""
+    tables = [
+        confusion_matrix(evaluate(labels, p), by).withColumns({"classifier_name": F.lit(p.name), "classifier_version": F.lit(p.version)}) for p in predictors
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def prediction_problems(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions for unknown examples and repeated predictions."""
     unknown = predictions.join(labels, "example_id", "left_anti").select("example_id").distinct()

@@ -209,6 +209,12 @@ def labelled_examples(spark, sf):
     return evaluation.example_problems(found).select("problem", F.col("n").cast("bigint").alias("n"))
 
 
+@query("src7_parsed_examples")
+def parsed_examples(spark, sf):
+    found = labelled.read_labelled_examples(spark, examples_path(spark, sf), A.LANGUAGES)
+    return found.select("example_id", "keyword", "language", F.md5("text").alias("text_md5"), "human_label", "is_valid")
+
+
 @query("src8_manifests")
 def manifests(spark, sf):
     labels = A.table(spark, sf, "labels")
@@ -418,7 +424,7 @@ def timestamps(spark, sf):
 @query("prj8_canonical_metrics")
 def canonical_metrics(spark, sf):
     metrics = A.metrics(spark, sf).withColumn("counter", F.coalesce(dataset.canonical_metric(), F.lit("unsupported")))
-    return metrics.groupBy("name", "counter").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.select("signal_id", "name", "counter", "value", stamp("recorded_at").alias("recorded_at"))
 
 
 @query("prj9_country_codes")
@@ -610,8 +616,7 @@ def merged_keywords(spark, sf):
 def keyword_exclusion(spark, sf):
     texts = A.dataset_signals(spark, sf).select("run_id", "cleaned_text")
     plain = keywords.extract_terms(texts).groupBy("run_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    kept = keywords.drop_run_keyword(plain, A.runs(spark, sf), "term")
-    return kept.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_mentions"))
+    return keywords.drop_run_keyword(plain, A.runs(spark, sf), "term")
 
 
 @query("scl17_keyword_match_scores")
@@ -650,8 +655,7 @@ def conflict_counts(spark, sf):
 
 @query("scl7_scl8_engagement_records")
 def engagement_records(spark, sf):
-    found = records(spark, sf).filter(F.col("present_count") > 0)
-    return found.select(
+    return records(spark, sf).select(
         "run_id", "signal_id", "source", stamp("ranking_at").alias("ranking_at"), "views", "likes", "comments",
         "interactions", "like_rate", "comment_rate", "engagement_rate", "metric_completeness", "is_partial",
     )
@@ -921,6 +925,22 @@ def evaluation_pairs(spark, sf):
     return labels, predictions
 
 
+def lead_words(batch):
+    """A classifier for the predictor hook: it looks at the first words of a text, and gives up on some languages."""
+    lead = batch["text"].fillna("").str.slice(0, 60).str.lower()
+    label = lead.str.contains("th", regex=False).map({True: "positive", False: "neutral"}).where(~lead.str.contains("de", regex=False), "negative")
+    return label.where(batch["language"] != "de")
+
+
+@query("udf4_predictor_reports")
+def predictor_reports(spark, sf):
+    labels = A.human_labels(spark, sf)
+    hooks = (evaluation.lexicon_predictor(A.LEXICON), evaluation.batch_predictor("lead-words", "v1", lead_words))
+    return evaluation.compare_predictors(labels, hooks, ("language",)).select(
+        "classifier_name", "classifier_version", "language", "actual_label", "positive", "neutral", "negative", "missing"
+    )
+
+
 @query("join10_matched_predictions")
 def matched_predictions(spark, sf):
     labels, predictions = evaluation_pairs(spark, sf)
@@ -1204,9 +1224,8 @@ def canonical_sources(spark, sf):
     parts = A.table(spark, sf, "part").select(
         F.col("p_partkey").alias("source_id"), F.col("p_type").alias("platform"), F.col("p_brand").alias("source_name")
     )
-    lines = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("source_id"))
-    remapped = paging.remap_sources(lines, paging.canonical_sources(parts))
-    return remapped.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    lines = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_id"))
+    return paging.remap_sources(lines, paging.canonical_sources(parts))
 
 
 @query("win10_latest_results")

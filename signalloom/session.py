@@ -23,8 +23,9 @@ SQL_SETTINGS = {
 # expressions; recording the source line of each costs more than planning.
 START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
-# A table is broadcast only after a count shows it holds at most this many rows.
+# A table is broadcast only after a count shows that it holds at most this many rows and bytes.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTE_LIMIT = 64 << 20
 
 
 def build_session(app_name: str = "signalloom", master: str | None = None, **extra: str) -> SparkSession:
@@ -75,12 +76,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Mark ``df`` for broadcast if a count proves it small.
+def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT, most_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Mark ``df`` for broadcast if it is proven small, in rows and in bytes.
 
-    A larger table keeps the ordinary shuffle join, where adaptive execution
-    splits the partitions of hot keys.
+    A table that Spark's own estimate finds small enough needs no mark, since Spark broadcasts it by itself. Any other
+    one is measured up to the limits. A larger table keeps the ordinary shuffle join, where adaptive execution splits
+    the partitions of hot keys.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    spark = df.sparkSession
+    own = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= own:
+        return df
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) if df.columns else F.lit(0)
+    found = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size")).first()
+    return F.broadcast(df) if found["n"] <= limit and (found["size"] or 0) <= most_bytes else df

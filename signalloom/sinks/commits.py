@@ -179,6 +179,9 @@ class Store:
 
     def _write(self, new: Rows, folder: str) -> None:
         path = f"{self.path}/{folder}"
+        taken = {COMMIT, "attempt", "bucket"} & {c.lower() for c in new.rows.columns}
+        if taken:
+            raise ValueError(f"columns {sorted(taken)} are the store's own")
         if new.column:
             # Few files per bucket, and several tasks for a bucket that is too large for one.
             bucketed(new.rows, new.column, new.buckets).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)

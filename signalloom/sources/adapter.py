@@ -14,7 +14,7 @@ from signalloom.functions import lexicons
 from signalloom.functions import text as T
 from signalloom.operators.dataset import seal, tag_modalities
 from signalloom.operators.quality import is_spam
-from signalloom.session import apply_settings, scratch_path
+from signalloom.session import apply_settings, materialize
 
 # The prose of the tables is invented, so the shipped lists get frequent words of it.
 RUN_KEYWORD = "case when length(run_id) = 4 then 'The eriner' else 'the  Thanea ond' end"
@@ -54,6 +54,17 @@ def platform() -> Column:
     return F.expr("case doc_id % 3 when 0 then 'youtube' when 1 then 'community' else 'hype' end")
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored_once(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """A table that many queries start from, written once per session and folder."""
+    key = (df.sparkSession.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = materialize(df, name)
+    return _stored[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the columns that all derived tables share."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
@@ -121,11 +132,15 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run with its half-open timeframe."""
     found = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id")).distinct()
-    return found.select(
-        "run_id",
-        F.expr(RUN_KEYWORD).alias("keyword"),
-        F.expr("timestamp'2024-01-01 00:00:00'").alias("timeframe_start"),
-        F.expr("timestamp'2024-01-31 00:00:00'").alias("timeframe_end"),
+    return stored_once(
+        found.select(
+            "run_id",
+            F.expr(RUN_KEYWORD).alias("keyword"),
+            F.expr("timestamp'2024-01-01 00:00:00'").alias("timeframe_start"),
+            F.expr("timestamp'2024-01-31 00:00:00'").alias("timeframe_end"),
+        ),
+        sf_dir,
+        "runs",
     )
 
 
@@ -136,9 +151,6 @@ def module_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("status", F.when(failed, "failed").otherwise("completed"))
 
 
-_stored: dict[tuple[str, str], str] = {}
-
-
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signal table as ingest stores it: cleaned, flagged, tagged.
 
@@ -147,13 +159,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts again.
     """
     apply_settings(spark)
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stored:
-        tagged = tag_modalities(plain_signals(spark, sf_dir), metrics(spark, sf_dir))
-        path = scratch_path(spark, "signals")
-        tagged.write.parquet(path)
-        _stored[key] = path
-    return spread(spark.read.parquet(_stored[key]))
+    return spread(stored_once(tag_modalities(plain_signals(spark, sf_dir), metrics(spark, sf_dir)), sf_dir, "signals"))
 
 
 def dataset_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

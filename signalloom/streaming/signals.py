@@ -68,9 +68,9 @@ def store_distinct(records: DataFrame, path: str, checkpoint: str, *, available_
 
 
 def daily_sums(signals: DataFrame, event_time: str = "event_time") -> DataFrame:
-    """Signals and engagement per run and UTC day."""
+    """Signals and engagement per run and UTC day; engagement adds up in twelve decimal places, in any order alike."""
     return signals.groupBy("run_id", F.to_date(event_time).alias("day")).agg(
-        F.count(F.lit(1)).alias("signal_count"), F.sum(F.col("engagement").cast("decimal(38,6)")).alias("engagement")
+        F.count(F.lit(1)).alias("signal_count"), F.sum(F.col("engagement").cast("decimal(38,12)")).alias("engagement")
     )
 
 

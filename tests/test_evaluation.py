@@ -94,3 +94,19 @@ def test_hybrid_routes_cache_model_and_fallback(make, spark):
     assert (row.llm_count, row.cache_hit_count, row.fallback_count, row.truncated_count, row.provider_call_count) == (2, 1, 2, 1, 2)
     assert (row.actual_models, row.total_tokens, row.estimated_cost_usd) == (["m-0", "m-1"], 11, Decimal("0.000002"))
     assert hybrid.new_cache_entries(answers, PROVIDER).count() == 1
+
+
+def test_predictors_are_hooks(spark):
+    rows = [(str(i), "k", "en" if i % 2 else "vi", ["I love it", "I hate it", "it is"][i % 3], ["positive", "negative", "neutral"][i % 3]) for i in range(12)]
+    labels = spark.createDataFrame(rows, "example_id string, keyword string, language string, text string, human_label string")
+    seen = evaluation.batch_predictor("half", "v2", lambda batch: batch["text"].map({"I love it": "positive", "I hate it": "neutral"}))
+    table = evaluation.compare_predictors(labels, [evaluation.lexicon_predictor(), seen]).collect()
+    got = {(r.classifier_name, r.classifier_version, r.actual_label): (r.positive, r.neutral, r.negative, r.missing) for r in table}
+    assert got["lexicon", "v1", "positive"] == (4, 0, 0, 0) and got["lexicon", "v1", "negative"] == (0, 0, 4, 0)
+    assert got["half", "v2", "positive"] == (4, 0, 0, 0) and got["half", "v2", "negative"] == (0, 4, 0, 0) and got["half", "v2", "neutral"] == (0, 0, 0, 4)
+    wrong = evaluation.batch_predictor("wrong", "v1", lambda batch: batch["text"].map(lambda t: "glad"))
+    with pytest.raises(ValueError, match="wrong: unknown_label"):
+        evaluation.evaluate(labels, wrong)
+    twice = evaluation.Predictor("twice", "v1", lambda d: d.select("example_id", F.lit("neutral").alias("predicted_label"), F.lit("x").alias("route")).union(d.limit(1).select("example_id", F.lit("neutral"), F.lit("x"))))
+    with pytest.raises(ValueError, match="twice: duplicate_prediction"):
+        evaluation.evaluate(labels, twice)

@@ -191,6 +191,11 @@ def test_sources_are_written_and_keep_their_ids(spark):
     assert after["a"] == (first["a"], "old") and after["b"] == (first["b"], "new") and after["c"][1] == "new" and len(after) == 3
 
 
+def test_names_of_the_store_are_refused(spark):
+    with pytest.raises(ValueError, match="bucket"):
+        Store(spark, scratch_path(spark, "t-names")).commit({"t": Rows(spark.createDataFrame([(1,)], "Bucket int"))})
+
+
 def test_rules_have_names():
     with pytest.raises(ValueError):
         Rule("sometimes")
