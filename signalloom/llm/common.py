@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 import signalloom
 from signalloom.session import materialize
 
-__all__ = ["append_columns", "dense_ranks", "keep", "materialize", "pack", "read", "release", "ship", "unpack", "without"]
+__all__ = ["append_columns", "dense_ranks", "keep", "materialize", "pack", "read", "release", "ship", "slices", "unpack", "without"]
 
 PIECE_BYTES = 4 << 20
 
@@ -59,6 +59,13 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of a few MB, since Python objects take several times the room of Arrow data."""
+    for whole in batches:
+        rows = max(1, whole.num_rows * PIECE_BYTES // max(whole.nbytes, 1))
+        yield from (whole.slice(k, rows) for k in range(0, whole.num_rows, rows))
+
+
 def append_columns(
     df: DataFrame, fields: Sequence[StructField], function: Callable[[pa.RecordBatch], list[pa.Array]]
 ) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.llm.common import keep as materialize
+from signalloom.llm.common import slices
 from signalloom.llm.shingles import mixed, shingle_sets
 
 LARGEST_LIGHT = 24
@@ -119,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _frequent(base: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [v for v in shingle_sets(batch.column("text").to_pylist(), words) if len(v)]
+            found = [v for part in slices([batch]) for v in shingle_sets(part.column("text").to_pylist(), words) if len(v)]
             if not found:
                 continue
             ordered = np.sort(np.concatenate(found))
@@ -136,7 +137,7 @@ def _frequent(base: DataFrame, words: int) -> DataFrame:
 def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = order.value
-        for batch in batches:
+        for batch in slices(batches):
             nodes = batch.column("node").to_numpy()
             out: list[tuple[np.ndarray, ...]] = []
             for node, values in zip(nodes, shingle_sets(batch.column("text").to_pylist(), words)):
@@ -159,7 +160,7 @@ def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broad
 
 def _light_links(base: DataFrame, words: int, percent: int, light: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes, keys, sizes, common = [], [], [], []
             for node, values in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist(), words)):
                 if 0 < len(values) <= light:
@@ -189,7 +190,7 @@ def _verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [v.tobytes() for v in shingle_sets(batch.column("text").to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "values"])
 
@@ -227,7 +228,7 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.random.default_rng(7).integers(0, 2**63, 2, dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for values in shingle_sets(batch.column("text").to_pylist(), words):
                 sums = [mixed(values ^ w).sum(dtype=np.uint64).view(np.int64) for w in weights]
