@@ -6,7 +6,11 @@ The boundary minimises the number of emitted rows over the histogram of set size
 
 Frequent shingles come last in the order, so lists stay short except inside groups of near copies. Such groups are
 joined first through one hub per list; after that only members of different components meet, each list's largest
-component being met but never enumerated against itself. Equal sets are one node throughout.
+component being met but never enumerated against itself. Equal sets are one node throughout, named by one of their rows,
+so rows that share an id but not a text are different nodes.
+
+Texts are shuffled once, to the nodes; after that only texts of nodes in candidate pairs are. Sets are made from texts
+where they are compared, since they take several times the room.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
+from signalloom.llm.common import append_columns, slices, without
 from signalloom.llm.common import keep as materialize
-from signalloom.llm.common import slices
 from signalloom.llm.shingles import mixed, shingle_sets
 
 LARGEST_LIGHT = 24
@@ -32,6 +37,9 @@ LARGEST_LIGHT = 24
 FREQUENT = 48
 REPORTED = 3
 MOST_FREQUENT = 200_000
+# Bits of the filter of nodes, which is broadcast: 8 MB at most. A fuller filter lets more texts pass, no fewer.
+FILTER_BITS = 1 << 26
+CLASS = ("_n", "_d1", "_d2")
 
 
 def least_common(a: Column, b: Column, percent: int) -> Column:
@@ -185,79 +193,91 @@ def _light_links(base: DataFrame, words: int, percent: int, light: int) -> DataF
     )
 
 
-def _verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _possible(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``base`` that a filter of fixed size does not tell apart from ``nodes``; no row of ``nodes`` is missing."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [v.tobytes() for v in shingle_sets(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "values"])
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
-    whole = materialize(base.join(needed, "node", "left_semi").mapInArrow(sets, "node long, values binary"), "sets")
+    bits = nodes.groupBy(F.bitmap_bucket_number(place("node")).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("node"))).alias("bits")
+    )
+    bit = F.bitmap_bit_position(place("node"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return (
+        base.withColumn("bucket", F.bitmap_bucket_number(place("node")))
+        .join(F.broadcast(bits), "bucket")
+        .filter(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))) % 2 == 1)
+        .select(*base.columns)
+    )
+
+
+def _verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose whole sets are similar enough."""
+    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+    texts = _possible(base, needed)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for batch in slices(batches):
+            # Neighbours mostly have the same second text.
+            second = batch.column("b").to_numpy()
+            new = np.concatenate([[True], second[1:] != second[:-1]]) if len(second) else np.empty(0, bool)
+            ys = shingle_sets(batch.column("y").filter(pa.array(new)).to_pylist(), words)
+            q, keep = np.empty(0, np.uint64), []
+            for p, changed in zip(shingle_sets(batch.column("x").to_pylist(), words), new.tolist()):
+                q = next(ys) if changed else q
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = (
         pairs.select("a", "b")
-        .join(whole.select(F.col("node").alias("a"), F.col("values").alias("x")), "a")
-        .join(whole.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     )
-    return materialize(joined.mapInArrow(compare, "a long, b long"), "pairs")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "pairs")
 
 
-def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row (doc_id, n_shingles, component_id) per document of ``df``.
+def _digested(documents: DataFrame, words: int, text: str) -> DataFrame:
+    """The documents with the size and two digests of their sets and a number of the row, stored."""
+    weights = np.random.default_rng(7).integers(0, 2**63, 2, dtype=np.uint64)
 
-    Documents link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles; the
-    component is the smallest doc_id reachable by links. Documents without words, and rows without a doc_id, link with
-    nothing: their component is their own doc_id. Repeated rows are linked like any equal texts. An empty table gives
-    an empty result.
-    """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be over 50 and at most 100")
-    spark = df.sparkSession
-    documents = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    def digests(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        for values in shingle_sets(batch.column(batch.schema.get_field_index(text)).to_pylist(), words):
+            rows.append((len(values), *(mixed(values ^ w).sum(dtype=np.uint64).view(np.int64) for w in weights)))
+        return [pa.array(c, pa.int64()) for c in list(zip(*rows)) or [(), (), ()]]
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.random.default_rng(7).integers(0, 2**63, 2, dtype=np.uint64)
-        for batch in slices(batches):
-            rows = []
-            for values in shingle_sets(batch.column("text").to_pylist(), words):
-                sums = [mixed(values ^ w).sum(dtype=np.uint64).view(np.int64) for w in weights]
-                rows.append((len(values), *sums))
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n", "d1", "d2"]
-            )
+    rows = append_columns(documents, [StructField(name, LongType()) for name in CLASS], digests)
+    return materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
-    found = materialize(documents.mapInArrow(digests, "doc_id long, n long, d1 long, d2 long"), "digests")
-    classes = found.filter("doc_id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
-    members = materialize(
-        found.join(classes, ["n", "d1", "d2"], "left").select(
-            "doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")
-        ),
-        "members",
+
+def _grouped(rows: DataFrame, words: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """For each set that a row with an id has: its class, ``component_id``, and ``kept``, the row that names the component."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    spark = rows.sparkSession
+    named = rows.filter(F.col(doc_id).isNotNull() & (F.col("_n") > 0))
+    classes = materialize(
+        named.groupBy(*CLASS).agg(F.min(F.struct(F.col(doc_id).cast("long").alias("id"), "_row")).alias("m"))
+        .select(*CLASS, F.col("m.id").alias("first"), F.col("m._row").alias("node")),
+        "classes",
     )
-    result = members.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
-    if not members.filter("doc_id = node AND n > 0").limit(2).count() > 1:
-        return result
-    alone = members.filter("doc_id <> node OR doc_id IS NULL OR n = 0").select("doc_id").distinct()
+    if not classes.limit(2).count() > 1:
+        return classes.select(*CLASS, F.col("first").alias("component_id"), F.col("node").alias("kept"))
+    # As many nodes as there are different documents: never broadcast.
+    nodes = classes.select(F.col("node").alias("_row")).hint("shuffle_hash")
     base = materialize(
-        documents.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(alone, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
-        if documents.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-        else documents.filter("doc_id IS NOT NULL").join(alone, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text"),
-        "base",
+        named.select("_row", F.col(text).alias("text")).join(nodes, "_row", "left_semi").select(F.col("_row").alias("node"), "text"), "base"
     )
+    joined = _linked(spark, classes.select("node", F.col("_n").alias("n")), base, words, percent)
+    placed = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min(F.struct("first", "node")).alias("least"))
+    return placed.join(least, "component").select(*CLASS, F.col("least.first").alias("component_id"), F.col("least.node").alias("kept"))
+
 
-    nodes = members.filter("doc_id = node AND n > 0").select("node", "n").distinct()
+def _linked(spark: SparkSession, nodes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components of all links between the different sets of ``base``, as (node, component); single nodes are left out."""
     sizes = {r["n"]: r["count"] for r in nodes.filter(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").count().collect()}
     light = choose_boundary(sizes, percent)
     links = _light_links(base, words, percent, light).select("a", "b") if light else spark.createDataFrame([], "a long, b long")
@@ -289,7 +309,7 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
     )
     best = Window.partitionBy("a").orderBy(F.desc("k"), "b")
     first = materialize(near.withColumn("r", F.row_number().over(best)).filter("r <= 2").select("a", "b"), "near")
-    links = materialize(links.union(_verified(first, base, words, percent)), "links")
+    links = _verified(links.union(first).distinct(), base, words, percent)
     joined = components(links)
 
     # Then every pair that may still join two components.
@@ -316,8 +336,39 @@ def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "
         .agg(F.count(F.lit(1)).alias("k"), F.first(asked).alias("asked")).filter("k >= asked").select("a", "b")
     )
     rest = _verified(materialize(met, "met"), base, words, percent)
-    joined = components(links.union(rest))
+    return components(links.union(rest))
+
+
+def join_similar(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row (doc_id, n_shingles, component_id) per document of ``df``.
+
+    Documents link when 100 * intersection >= ``percent`` * union of their sets of ``words``-word shingles; the
+    component is the smallest doc_id reachable by links. Documents without words, and rows without a doc_id, link with
+    nothing: their component is their own doc_id. Repeated rows are linked like any equal texts; rows that share a doc_id
+    but not a text each have their own links. An empty table gives an empty result.
+    """
+    documents = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = _digested(documents, words, "text")
     return (
-        members.join(joined, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+        rows.select("doc_id", *CLASS).join(_grouped(rows, words, percent, "text", "doc_id"), [*CLASS], "left")
+        .select(
+            "doc_id",
+            F.col("_n").alias("n_shingles"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        )
     )
+
+
+def first_of_groups(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` of which one of each component stays: that with the smallest doc_id.
+
+    Rows without a doc_id stay. Of documents without words, one row of each doc_id and text stays. Rows that share a
+    doc_id stay together unless their texts link. Columns named like those of the class (_n, _d1, _d2) and _row go.
+    """
+    rows = _digested(without(df, [*CLASS, "_row"]), words, text)
+    names = [c for c in rows.columns if c not in (*CLASS, "_row")]
+    groups = _grouped(rows, words, percent, text, doc_id).select(F.col("kept").alias("_row")).distinct()
+    wordless = rows.filter(F.col(doc_id).isNotNull() & (F.col("_n") == 0)).groupBy(doc_id, F.sha2(F.col(text), 256)).agg(F.min("_row").alias("_row"))
+    stays = groups.union(wordless.select("_row")).hint("shuffle_hash")
+    kept = rows.filter(F.col(doc_id).isNotNull()).join(stays, "_row", "left_semi")
+    return kept.select(*names).union(rows.filter(F.col(doc_id).isNull()).select(*names))

@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from signalloom.llm import jaccard_join, pieces, suffix_dedup, toxicity
 
@@ -171,6 +172,46 @@ def test_similar_documents_of_odd_tables(spark):
     assert jaccard_join.join_similar(table(spark, rows).limit(0)).collect() == []
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(4)
+    x, y, z = ([f"w{rng.randrange(500)}" for _ in range(80)] for _ in range(3))
+    rows = [(5, x), (5, y), (6, [*x, "more"]), (9, [*y, "more"]), (11, z), (11, [*z, "more"]), (None, x), (None, y), (12, [])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = Counter((r[0], r[2]) for r in jaccard_join.join_similar(table(spark, rows), 4, 85).collect())
+    assert got == Counter([(5, 5), (5, 5), (6, 5), (9, 5), (11, 11), (11, 11), (None, None), (None, None), (12, 12)])
+    first = jaccard_join.first_of_groups(table(spark, rows), 5, 80)
+    assert first.columns == ["doc_id", "text", "ids", "score", "kept"]
+    kept = {(r["doc_id"], r["text"]) for r in first.collect()}
+    assert first.count() == 6 and {rows[0], rows[1], rows[6], rows[7], rows[8]} < kept and kept & {rows[4], rows[5]}
+
+
+def test_links_without_broadcast_joins(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 120, 4000]))]
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            words = list(words)
+            words[rng.randrange(len(words))] = "other"
+            rows.append((len(rows) * 7 % 113 + 1000 * len(rows), " ".join(words)))
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = jaccard_join.join_similar(table(spark, rows), 4, 85).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert {r[0]: (r[1], r[2]) for r in got} == linked(rows, 4, 85)
+
+
+def test_filter_of_nodes_keeps_them_all(spark, monkeypatch):
+    base = spark.range(5000).select(F.col("id").alias("node"), F.lit("t").alias("text"))
+    nodes = base.filter("node % 7 = 0").select("node")
+    found = jaccard_join._possible(base, nodes)
+    assert found.columns == ["node", "text"] and nodes.subtract(found.select("node")).count() == 0 and found.count() < 800
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", 64)
+    assert jaccard_join._possible(base, nodes).count() == 5000
+
+
 def test_boundary_follows_the_costs():
     assert jaccard_join.choose_boundary({}, 85) == 0
     assert jaccard_join.choose_boundary({300: 1000}, 85) == 0
