@@ -129,3 +129,24 @@ def test_merge_prefers_frequent_then_long_spellings(spark):
 def test_paragraphs(spark):
     row = one(spark.range(1).select(paragraphs(F.lit("a"), F.lit("")).alias("x"), paragraphs(F.lit("a"), F.lit("b")).alias("y")))
     assert (row.x, row.y) == ("a", "a\n\nb")
+
+
+def exchanged(df):
+    """The physical plan as text, with its joins as they are chosen without broadcasts."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_not_sorted_to_get_flags_and_numbers(make, spark):
+    signals = make.signals({"signal_id": "a", "cleaned_text": "red"}, {"signal_id": "b", "cleaned_text": "fox"}).drop("modalities")
+    metrics = make.metrics(("a", "views", 1, 0))
+    tagged = dataset.tag_modalities(signals, metrics)
+    for df in (tagged, dataset.seal(tagged)):
+        plan = exchanged(df)
+        assert "SortMergeJoin [signal_id" not in plan and "ShuffledHashJoin [signal_id" in plan
+    assert {r.signal_id: r.modalities for r in tagged.collect()} == {"a": ["engagement", "text"], "b": ["text"]}
