@@ -142,6 +142,40 @@ def exchanged(df):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_keyword_forms_equal_a_count_of_all_mentions(make, spark):
+    texts = [
+        "Red fox jumps. red FOX runs far\nRéd fox jumps", "king of hearts; king hearts won", "zed", "fox of the red hearts won won won",
+        "Ἀγάπη ΟΔΟΣ ὁδός", "a. fox", "",
+    ]
+    signals = make.signals(*({"signal_id": f"s{i}", "cleaned_text": t, "language": "de" if i == 3 else "en"} for i, t in enumerate(texts)))
+    runs = make.runs()
+    sealed = dataset.seal(signals)
+    forms = keywords.keyword_forms(keywords.spellings(sealed, runs, keywords.source_names(sealed), ("en",)), runs)
+    got = {r.canonical_form: r for r in keywords.unpacked_forms(keywords.packed_forms(forms)).collect()}
+    mentions = keywords.extract_terms(signals.select("signal_id", "language", "cleaned_text")).withColumn("key", keywords.T.normalize_key(F.col("term")))
+    # signal_id is also the order of the signals here, and place the order in a text.
+    rows = sorted(mentions.collect(), key=lambda r: (r.signal_id, r.place))
+    assert set(got) == {r.key for r in rows}
+    for key, form in got.items():
+        every = [r for r in rows if r.key == key]
+        usable = [r for r in every if r.language == "en"]
+        assert (form["count"], form.frequency) == (len(every), len(usable)), key
+        assert form.openings == sum(r.place == 0 for r in usable), key
+        spelled = [r.term for r in usable]
+        assert form.keyword == (max(dict.fromkeys(spelled), key=spelled.count) if spelled else form.keyword), key
+    seen = [r.key for r in rows if r.language == "en"]
+    ordered = sorted((f for f in got.values() if f.frequency), key=lambda f: f.first)
+    assert [f.canonical_form for f in ordered] == list(dict.fromkeys(seen))
+
+
+def test_phrases_are_dealt_once_with_a_pair_and_its_triple_in_a_row(make):
+    sealed, runs = dataset.seal(make.signals({"signal_id": "a", "cleaned_text": "red fox jumps"})), make.runs()
+    single, phrases = keywords.spellings(sealed, runs, ["youtube"])
+    merged = keywords.keyword_forms((phrases.limit(0), phrases), runs)
+    assert merged.count() == 3
+    assert exchanged(phrases).count("Exchange") == 1
+
+
 def test_texts_are_not_sorted_to_get_flags_and_numbers(make, spark):
     signals = make.signals({"signal_id": "a", "cleaned_text": "red"}, {"signal_id": "b", "cleaned_text": "fox"}).drop("modalities")
     metrics = make.metrics(("a", "views", 1, 0))
