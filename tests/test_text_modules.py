@@ -176,6 +176,15 @@ def test_phrases_are_dealt_once_with_a_pair_and_its_triple_in_a_row(make):
     assert exchanged(phrases).count("Exchange") == 1
 
 
+def test_terms_of_a_signal_need_no_shuffle_of_terms(spark):
+    rows = [(1, "red fox red"), (2, "one two"), (2, "two fox"), (None, "zed"), (None, "zed zed"), (3, "of the"), (4, None)]
+    df = spark.createDataFrame(rows, "signal_id long, cleaned_text string")
+    found = keywords.signal_terms(df)
+    plain = keywords.extract_terms(df).groupBy("signal_id").agg(F.count("term").alias("n_terms"), F.count_distinct("term").alias("n_distinct"), F.max("term").alias("last_term"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert len(found.collect()) == 3
+
+
 def test_texts_are_not_sorted_to_get_flags_and_numbers(make, spark):
     signals = make.signals({"signal_id": "a", "cleaned_text": "red"}, {"signal_id": "b", "cleaned_text": "fox"}).drop("modalities")
     metrics = make.metrics(("a", "views", 1, 0))
