@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from signalloom.functions import text as T
+from signalloom.operators import dataset
 from signalloom.plans import catalog
 from signalloom.sources import payloads
 
@@ -53,3 +54,14 @@ def test_arriving_files_are_read_by_many_tasks(spark, tmp_path):
     found = set(glob.glob(f"{catalog.scratch_path(spark, 'x').rsplit('/', 1)[0].removeprefix('file:')}/stream-documents-*")) - before
     files = glob.glob(f"{found.pop()}/*.parquet")
     assert len(files) == 6 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+
+
+def test_texts_are_cleaned_after_they_are_dealt(spark, make):
+    signals = make.signals({"signal_id": "a", "cleaned_text": "x <b>y</b>"}, {"signal_id": "b", "cleaned_text": " "}).drop("modalities")
+    signals = signals.withColumnRenamed("cleaned_text", "raw_text")
+    tagged = dataset.tag_modalities(
+        signals, make.metrics(("a", "views", 1, 1)), lambda df: df.withColumn("cleaned_text", T.clean_text(F.col("raw_text")))
+    )
+    assert {r.signal_id: (r.cleaned_text, r.modalities) for r in tagged.collect()} == {"a": ("x y", ["engagement", "text"]), "b": ("", [])}
+    above_join = optimized(tagged).split("Join")[0]
+    assert "regexp_replace" in above_join
