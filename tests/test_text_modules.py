@@ -176,6 +176,37 @@ def test_phrases_are_dealt_once_with_a_pair_and_its_triple_in_a_row(make):
     assert exchanged(phrases).count("Exchange") == 1
 
 
+def test_a_phrase_is_dealt_as_its_words_and_two_numbers(make, spark):
+    sealed, runs = dataset.seal(make.signals({"signal_id": "a", "cleaned_text": "red fox jumps"})), make.runs()
+    dealt = [line for line in exchanged(keywords.spellings(sealed, runs, ["youtube"])[1]).splitlines() if "Project" in line and "packed" in line]
+    assert dealt and "lead" not in dealt[-1] and "bits_0" not in dealt[-1] and "third" not in dealt[-1]
+
+
+def test_a_spelling_equal_to_the_keyword_is_not_stored_twice(spark):
+    rows = [("r", "hung", "Hung", "Hung"), ("r", "zed", "zed", "ZED"), ("r", "fox", "fox", "fox"), ("r", "eau", "Eau", "eau")]
+    forms = spark.createDataFrame(rows, "run_id string, canonical_form string, keyword string, spelling string")
+    packed = keywords.packed_forms(forms)
+    assert [(r.keyword, r.spelling) for r in packed.collect()] == [("Hung", None), (None, "ZED"), (None, None), ("Eau", "eau")]
+    assert sorted(map(tuple, keywords.unpacked_forms(packed).collect())) == sorted(rows)
+
+
+def test_many_words_are_dealt_to_more_tasks(make, spark, monkeypatch):
+    sealed, runs = dataset.seal(make.signals({"signal_id": "a", "cleaned_text": "red fox jumps. red fox won"})), make.runs()
+    monkeypatch.setattr(keywords, "DEALT_BYTES", 1)
+    phrases = keywords.spellings(sealed, runs, ["youtube"])[1]
+    assert phrases.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.term, r.n) for r in phrases.collect()} == {("red fox", 2), ("fox jumps", 1), ("fox won", 1), ("red fox jumps", 1), ("red fox won", 1)}
+
+
+def test_term_counts_equal_a_count_of_the_terms(spark):
+    rows = [("r", "Red fox jumps. red fox runs far\nRed fox jumps"), ("s", "king of hearts; king of the hearts won won won"), ("r", "red fox"), (None, "zed"), ("r", None), ("s", "")]
+    df = spark.createDataFrame(rows, "run_id string, cleaned_text string")
+    plain = keywords.extract_terms(df).groupBy("run_id", "term").agg(F.count("term").alias("n"))
+    found = keywords.term_counts(df)
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert "posexplode" not in exchanged(found).split("Exchange")[0]
+
+
 def test_terms_of_a_signal_need_no_shuffle_of_terms(spark):
     rows = [(1, "red fox red"), (2, "one two"), (2, "two fox"), (None, "zed"), (None, "zed zed"), (3, "of the"), (4, None)]
     df = spark.createDataFrame(rows, "signal_id long, cleaned_text string")
