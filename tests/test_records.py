@@ -2,6 +2,7 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,19 @@ def test_search_results(spark):
     assert [(r.url, r.raw_text, r.signal_type, r.observed_at) for r in rows] == [("HTTP://H.com/a#x", "T", "serp_result", "2024-01-01"), ("http://h/e", "T\n\ns", "serp_result", "2024-01-01")]
 
 
+def test_metadata_is_taken_apart_in_small_pieces(spark):
+    sizes = [len(x) for x in privacy.pieces(pd.Series(range(2 * privacy.PIECE_ROWS + 3)))]
+    assert sizes == [privacy.PIECE_ROWS, privacy.PIECE_ROWS, 3] and [len(x) for x in privacy.pieces(pd.Series([], dtype=object))] == [0]
+    many = spark.range(0, 2 * privacy.PIECE_ROWS + 3, 1, 1).select(
+        "id", F.lit("t").alias("title"), F.lit("").alias("content"), F.lit("by Ann").alias("raw_text"), F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("channel_id"),
+        F.when(F.col("id") % 5 != 0, F.format_string('{"author": "Ann", "note": "Ann %d"}', "id")).alias("platform_metadata"),
+    )
+    for r in privacy.sanitize_records(many).collect():
+        assert r.platform_metadata == (None if r.id % 5 == 0 else '{"note":"redacted %d"}' % r.id)
+        assert r.raw_text == ("by Ann" if r.id % 5 == 0 else "by redacted")
+
+
 def test_privacy_of_nested_metadata(spark):
     metadata = {"authorName": "Ann Lee", "deep": [{"userId": {"v": " bob "}, "keep": "by Ann Lee and BOB, x@y.zz"}], "rawBody": "zzz", "n": 3, "authority": "ok"}
     df = spark.createDataFrame(
