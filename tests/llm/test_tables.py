@@ -97,6 +97,45 @@ def test_images_of_bytes():
         webp.decode(webp.encode_bytes(b"abcd" * 16)[:-12])
 
 
+def test_bytes_take_the_parts_that_pay():
+    rng = np.random.default_rng(2)
+    noise = rng.integers(0, 256, 4096, dtype=np.uint8)
+    words = [bytes(rng.integers(97, 107, rng.integers(2, 9), dtype=np.uint8)) for _ in range(400)]
+    skewed = rng.choice(np.frombuffer(b"eeeeeeettttaaohnrs", np.uint8), 6400).tobytes()
+    text = b" ".join(words[k] for k in rng.integers(0, 400, 9000))
+    text += b"\0" * (-len(text) % 64)
+    ramp = np.cumsum(rng.integers(0, 3, (256, 64)), axis=0).astype(np.uint8).tobytes()
+    shifted = np.stack([noise, noise + 3, noise + 7, np.full_like(noise, 9)], 1).tobytes()
+    crossed = np.stack([noise // 2, noise, (noise.view(np.int8) // 4).view(np.uint8), np.full_like(noise, 9)], 1).tobytes()
+    used = set()
+    for data in (skewed, text, ramp, shifted, crossed):
+        pixels, how = webp._planned(np.frombuffer(data, np.uint8), 64)
+        used |= set(how["transforms"])
+        stored = webp.encode_bytes(data)
+        assert webp.decode_bytes(stored).tobytes() == data
+        if data is skewed:
+            # Codes of one length take 4 bits for each of 9 letters, these fewer than 3.1.
+            assert len(stored) < 6400 * 3.1 / 8
+        if data is text:
+            assert len(stored) < 0.9 * len(webp.encode(pixels, **how, cache_bits=None))
+        if data is crossed:
+            assert len(stored) < 0.9 * len(webp.encode(pixels, **how, cache_bits=0, references=True))
+    assert used == {webp.PREDICTOR, webp.CROSS_COLOUR, webp.SUBTRACT_GREEN, webp.PALETTE}
+
+
+def test_tokens_across_pieces_read_like_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    pixels = rng.choice(rng.integers(0, 2**32, 50, dtype=np.uint32), (60, 64))
+    pixels[20:40] = pixels[:20]
+    stored = webp.encode(pixels, (webp.SUBTRACT_GREEN,), references=True)
+    for size in (1, 7, 1 << 15):
+        monkeypatch.setattr(webp, "READ_BYTES", size)
+        assert (webp.decode(stored) == pixels).all()
+    for mode in (webp.LEFT, webp.ABOVE):
+        one_by_one = webp._predicted(pixels.ravel(), 64, [mode] * 119 + [12], 3, True).reshape(60, 64)[:56]
+        assert (webp._predicted(pixels.ravel(), 64, [mode] * 120, 3, True).reshape(60, 64)[:56] == one_by_one).all()
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "é" * 32, 1), (4, "x" * 70_000, 1), (5, "x" * 70_000, 1)], "doc_id long, text string, media int")
     out = {r["doc_id"]: r for r in media.load(media.store(df)).collect()}
