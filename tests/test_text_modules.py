@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.lexicons import Lexicon
 from signalloom.operators import dataset, keywords, sentiment
+from signalloom.plans import modules
 from signalloom.sources.payloads import paragraphs
 
 from conftest import START, one
@@ -215,3 +216,31 @@ def test_texts_are_not_sorted_to_get_flags_and_numbers(make, spark):
         plan = exchanged(df)
         assert "SortMergeJoin [signal_id" not in plan and "ShuffledHashJoin [signal_id" in plan
     assert {r.signal_id: r.modalities for r in tagged.collect()} == {"a": ["engagement", "text"], "b": ["text"]}
+
+
+def test_sums_and_top_keywords_are_found_in_one_pass(spark, make):
+    rows = [("r%d" % (i % 3), f"k{i % 40:02d}-{i}", f"K{i}", 1 + i * 7 % 5, (1 << 33) - i, i % 2) for i in range(300)]
+    rows.append(("alone", "x", "X", 9, 1, 1))
+    schema = "run_id string, canonical_form string, keyword string, frequency bigint, first bigint, openings bigint"
+    for kind in ("bigint", "decimal(38,0)"):
+        table = spark.createDataFrame(rows, schema).withColumn("first", F.col("first").cast(kind)).repartition(5)
+        size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        sums, top = keywords.sums_and_top(table, 4)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, keywords.keyword_sums(table).collect()))
+        want = keywords.top_keywords(table.drop("openings"), 4)
+        assert top.columns == want.columns and dict(top.dtypes)["first"] == kind
+        assert sorted(map(tuple, top.collect())) == sorted(map(tuple, want.collect()))
+    sums, top = keywords.sums_and_top(table.limit(0), 4)
+    assert sums.collect() == top.collect() == []
+
+
+def test_analysis_does_not_store_the_keyword_table(spark, make, monkeypatch):
+    stored = []
+    for module in (modules, keywords):
+        monkeypatch.setattr(module, "materialize", lambda df, name, *a, kept=module.materialize, **o: (stored.append((name, df.columns)), kept(df, name, *a, **o))[1])
+    signals = make.signals({"signal_id": "a", "cleaned_text": "Alpha beta. Alpha gamma"}, {"signal_id": "b", "cleaned_text": "alpha"})
+    found = modules.analyze(signals, make.metrics(("a", "views", 1, 1)), make.runs())
+    assert one(found.results["keywords"]).total_mentions == sum(r.frequency for r in found.keyword_table.collect())
+    assert not [name for name, columns in stored if "openings" in columns]
