@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from signalloom.llm.common import append_columns, slices, without
+from signalloom.llm.common import append_columns, shedding, slices, without
 from signalloom.llm.common import keep as materialize
 from signalloom.llm.shingles import mixed, shingle_sets
 
@@ -139,7 +139,7 @@ def _frequent(base: DataFrame, words: int) -> DataFrame:
                 [pa.array(ordered[begins[often]].view(np.int64)), pa.array(counts[often])], ["token", "k"]
             )
 
-    return base.mapInArrow(run, "token long, k long").groupBy("token").agg(F.sum("k").alias("count"))
+    return base.mapInArrow(shedding(run), "token long, k long").groupBy("token").agg(F.sum("k").alias("count"))
 
 
 def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broadcast) -> DataFrame:
@@ -163,7 +163,7 @@ def _entries(base: DataFrame, words: int, percent: int, light: int, order: Broad
                     ["token", "node", "n", "at", "often"],
                 )
 
-    return base.mapInArrow(run, "token long, node long, n int, at int, often boolean")
+    return base.mapInArrow(shedding(run), "token long, node long, n int, at int, often boolean")
 
 
 def _light_links(base: DataFrame, words: int, percent: int, light: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _light_links(base: DataFrame, words: int, percent: int, light: int) -> DataF
                 ["key", "node", "n", "common"],
             )
 
-    subsets = materialize(base.mapInArrow(run, "key long, node long, n int, common int"), "subsets")
+    subsets = materialize(base.mapInArrow(shedding(run), "key long, node long, n int, common int"), "subsets")
     # All sets around one subset are linked through the smallest of them: it needs the fewest common shingles. Where two
     # sets of the group are similar by this subset, each of them is similar to the smallest one; others may not be.
     least = subsets.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -235,7 +235,7 @@ def _verified(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> Da
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     )
-    return materialize(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "pairs")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(shedding(compare), "a long, b long"), "pairs")
 
 
 def _digested(documents: DataFrame, words: int, text: str) -> DataFrame:

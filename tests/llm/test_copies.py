@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from signalloom.llm import exact_dedup
+from signalloom.llm import common, exact_dedup, jaccard_join
 from signalloom.llm.quotient import QuotientFilter, add_up, merge
 
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -75,3 +75,17 @@ def test_empty_tables_and_other_names(spark):
     assert [tuple(r)[:4] for r in exact_dedup.exact_duplicates(df, "key", "body").orderBy("doc_id").collect()] == [(1, 2, 2, False), (2, 2, 2, True)]
     with pytest.raises(ValueError):
         exact_dedup.exact_duplicates(df, "key", "body", bits=65)
+
+
+def test_workers_give_memory_back_after_the_sets(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "shed", lambda: calls.append(len(out)))
+    out = []
+    for x in common.shedding(lambda batches: (b + 1 for b in batches))(iter([1, 2, 3])):
+        out.append(x)
+    assert out == [2, 3, 4] and calls == [3]
+    wrapped = []
+    monkeypatch.setattr(jaccard_join, "shedding", lambda run: wrapped.append(run.__qualname__) or run)
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e g"), (3, "x y")], "doc_id long, text string")
+    assert jaccard_join.join_similar(df, 5, 80).count() == 3
+    assert {name.split(".")[0] for name in wrapped} >= {"_frequent", "_entries", "_verified"}
