@@ -15,6 +15,7 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from signalloom.llm.common import dense_ranks, keep, without
 BUCKETS = 1 << 12
 # Slots that the driver holds at once; a longer table of slots, or of sources, is not broadcast.
 MOST_HELD = 250_000
+# Where a row stands in the files of its table.
+LINE = ["_file", "_line"]
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -92,25 +95,17 @@ def _slot_table(spark: SparkSession, plan: Iterator[tuple[str, int, int, int, in
         table = made if table is None else table.union(made)
 
 
-def mix(
-    df: DataFrame, weights: Mapping[str, float | Fraction] | None = None, block: int = 16, period: int = 256,
-    doc_id: str = "doc_id", source: str = "source", also: Sequence[str] = (),
-) -> DataFrame:
-    """One row (doc_id, source, block, release, deadline, slot, position) per document; none is left out.
+def _named(df: DataFrame, source: str) -> DataFrame:
+    """``df`` with ``name``, which tells the null source from all others."""
+    return df.withColumn("name", F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))))
 
-    ``weights`` names the target weights, which hold exactly (Fraction for what no decimal states); by default a source
-    weighs the square root of its number of documents. ``period`` is the number of slots whose documents are numbered
-    together, which the result does not depend on. The driver holds one entry per source, of any number. Sources that ``weights`` does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
-    in the order of a hash of their id. A source that runs out leaves its slots to the others, in proportion, so
-    ``position`` has no gaps; the bound of one block holds as long as all sources last. Repeated rows and equal ids are
-    rows like any others. Columns named by ``also`` stay and order rows of equal ids. An empty table gives no rows.
+
+def _scheduled(ranked: DataFrame, rows: DataFrame, weights: Mapping[str, float | Fraction] | None, block: int) -> DataFrame:
+    """``ranked`` with the block of every row and the release, deadline and slot of the block.
+
+    ``rank`` numbers the rows of each ``name``, source, from 0; the sources are counted in ``rows``.
     """
-    spark = df.sparkSession
-    rows = keep(
-        df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *also)
-        .withColumn("name", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))),
-        "mix",
-    )
+    spark = ranked.sparkSession
     found = rows.groupBy("name").count().collect()
     given = {f"+{n}": w for n, w in (weights or {}).items() if w > 0}
     least = min(given.values(), default=None)
@@ -124,8 +119,7 @@ def mix(
     planned = min(length, held)
     plan = _small(_slot_table(spark, slots(whole, turns), planned), planned)
     per_source = spark.createDataFrame(sorted(turns.items()), "name string, turns long")
-    ranked = dense_ranks(rows, "name", F.shiftrightunsigned(F.xxhash64("doc_id"), 16), [F.col("doc_id"), *map(F.col, also)], "rank", BUCKETS)
-    placed = (
+    return (
         ranked.join(_small(per_source, len(turns)), "name")
         .withColumn("block", F.floor(F.col("rank") / block))
         .withColumn("round", F.floor(F.col("block") / F.col("turns")))
@@ -134,8 +128,25 @@ def mix(
         .withColumn("release", F.col("round") * rounds + F.col("opens"))
         .withColumn("deadline", F.col("round") * rounds + F.col("due"))
         .withColumn("slot", F.col("round") * rounds + F.col("start"))
-        .withColumn("stretch", F.floor(F.col("slot") / period))
     )
+
+
+def mix(
+    df: DataFrame, weights: Mapping[str, float | Fraction] | None = None, block: int = 16, period: int = 256,
+    doc_id: str = "doc_id", source: str = "source", also: Sequence[str] = (),
+) -> DataFrame:
+    """One row (doc_id, source, block, release, deadline, slot, position) per document; none is left out.
+
+    ``weights`` names the target weights, which hold exactly (Fraction for what no decimal states); by default a source
+    weighs the square root of its number of documents. ``period`` is the number of slots whose documents are numbered
+    together, which the result does not depend on. The driver holds one entry per source, of any number. Sources that ``weights`` does not name, and the null source, weigh as much as the lightest named one. Inside a source documents come
+    in the order of a hash of their id. A source that runs out leaves its slots to the others, in proportion, so
+    ``position`` has no gaps; the bound of one block holds as long as all sources last. Repeated rows and equal ids are
+    rows like any others. Columns named by ``also`` stay and order rows of equal ids. An empty table gives no rows.
+    """
+    rows = keep(_named(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *also), "source"), "mix")
+    ranked = dense_ranks(rows, "name", F.shiftrightunsigned(F.xxhash64("doc_id"), 16), [F.col("doc_id"), *map(F.col, also)], "rank", BUCKETS)
+    placed = _scheduled(ranked, rows, weights, block).withColumn("stretch", F.floor(F.col("slot") / period))
     sizes = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("held"))
     # One row per stretch of period * block documents.
     before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,9 +160,52 @@ def mix(
     )
 
 
+def file_order(df: DataFrame) -> DataFrame | None:
+    """``df`` with ``_file`` and ``_line``, which order its rows as its files do; None if it is not read from files.
+
+    Spark numbers the files of a sorted table in its order, but reads them in another one. Rows that are made from those
+    of files, as by a join or by taking lists apart, are not read from files: several can come from one place.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return None
+    try:
+        return df.withColumns({"_file": F.col("_metadata.file_path"), "_line": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+
+
 def in_mixed_order(df: DataFrame, weights: Mapping[str, float] | None = None, **options) -> DataFrame:
-    """All rows of ``df`` sorted by their position in the mix, in a column ``position`` that replaces one of that name."""
-    plain = without(df, ["position"])
-    doc_id = options.get("doc_id", "doc_id")
-    places = mix(df, weights, **options).groupBy(F.col("doc_id").alias("_key")).agg(F.min("position").alias("position"))
-    return plain.join(places, F.col(doc_id).eqNullSafe(F.col("_key"))).drop("_key").orderBy("position")
+    """All rows of ``df`` sorted by their position in the mix, in a column ``position`` that replaces one of that name.
+
+    Every row has a position of its own, also where rows share an id.
+    """
+    plain = without(df, ["position", *LINE])
+    rows = file_order(plain)
+    if rows is None:
+        # Written, so that the places of the rows stay what the mix was told.
+        rows = file_order(keep(plain, "rows"))
+    places = mix(rows, weights, also=LINE, **options).select("position", *LINE)
+    return rows.join(places, LINE).drop(*LINE).orderBy("position")
+
+
+def written_places(rows: DataFrame, weights: Mapping[str, float | Fraction] | None = None, block: int = 16, source: str = "source") -> DataFrame:
+    """``slot`` and ``position`` per ``_file`` and ``_line`` of a table that :func:`in_mixed_order` sorted and that was written.
+
+    The order of the files is the mix, so it is read off and not made again: rows are counted by file, and by file and
+    source, and those of the files before shift the places in a file. A row per file goes through one task.
+    """
+    narrow = keep(_named(rows.select(source, "_file", "_line"), source).drop(source), "lines")
+    number = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^part-(\d+)", 1).try_cast("long")
+    counts = keep(narrow.groupBy("_file", "name").agg(F.count(F.lit(1)).alias("_held")), "line-counts")
+    files = counts.groupBy("_file").agg(F.sum("_held").alias("_held")).withColumn("_number", number)
+    before = Window.orderBy("_number", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", "_number", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("name").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.join(starts, "_file").select("_file", "name", "_start", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_passed"))
+    inside = Window.partitionBy("_file", "name").orderBy("_line")
+    ranked = narrow.withColumn("rank", F.row_number().over(inside) - 1).join(shifts, ["_file", "name"])
+    ranked = ranked.withColumns({"rank": F.col("rank") + F.col("_passed"), "position": F.col("_line") + F.col("_start")})
+    return _scheduled(ranked, narrow, weights, block).select("_file", "_line", "slot", "position")

@@ -5,10 +5,13 @@ import math
 from collections import Counter
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from signalloom.llm import mixing
 from tools.compare import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
@@ -78,3 +81,48 @@ def test_encoding_places_every_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.encoding_stage(spark, docs, FOLDER).collect()
     assert sorted(r["position"] for r in out) == list(range(90))
+
+
+def test_written_order_of_the_mix_reaches_the_result(spark, tmp_path):
+    """The mixing stage decides the order of its files, and the last stage reads the places there, whatever order it finds."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i % 40 or None, f"text {i}", "en", "sst"[i % 3], 6) for i in range(120)]
+    corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, schema), FOLDER).write.parquet(f"{tmp_path}/mixed")
+    written = [r for f in sorted((tmp_path / "mixed").glob("*.parquet")) for r in pq.ParquetFile(f).read().to_pylist()]
+    assert sorted(r["text"] for r in written) == sorted(r[1] for r in rows)
+    share = math.sqrt(80) / (math.sqrt(80) + math.sqrt(40))
+    taken = 0
+    for n, r in enumerate(written, 1):
+        taken += r["source"] == "s"
+        assert abs(taken - share * n) < 32 or taken == 80 or n - taken == 40
+    # Eleven files or more, of which the tenth begins with another digit than the second.
+    turned = written[::-1]
+    for k in range(12):
+        spark.createDataFrame(turned[10 * k : 10 * k + 10], schema).coalesce(1).write.parquet(f"{tmp_path}/part/{k}")
+        (piece,) = (tmp_path / "part" / str(k)).glob("*.parquet")
+        (tmp_path / "turned").mkdir(exist_ok=True)
+        (tmp_path / "turned" / f"part-{k:05d}-x.parquet").write_bytes(piece.read_bytes())
+    for folder, order in (("mixed", written), ("turned", turned)):
+        docs = spark.read.parquet(f"{tmp_path}/{folder}").withColumn("n_chars", F.col("n_chars") + F.substring("text", 6, 3).cast("long"))
+        out = sorted(corpus_pipeline.encoding_stage(spark, docs, FOLDER).collect(), key=lambda r: r["position"])
+        assert [r["n_chars"] - 6 for r in out] == [int(r["text"][5:]) for r in order]
+        assert [r["position"] for r in out] == list(range(120))
+    # Only in the order of the mix do slots rise with the positions; each has 16 documents at most.
+    docs = spark.read.parquet(f"{tmp_path}/mixed")
+    slots = [r["slot"] for r in sorted(corpus_pipeline.encoding_stage(spark, docs, FOLDER).collect(), key=lambda r: r["position"])]
+    assert slots == sorted(slots) and max(Counter(slots).values()) == 16
+
+
+def test_rows_of_one_id_have_places_of_their_own(spark):
+    rows = [(7, f"text {i}", "en", "s", 6) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["position"] for r in mixing.in_mixed_order(docs).collect()] == list(range(20))
+
+
+def test_rows_made_from_those_of_files_are_mixed(spark, tmp_path):
+    spark.createDataFrame([(1, "s"), (2, "t")], "doc_id long, source string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert mixing.file_order(docs.filter("doc_id > 0")) is not None
+    assert mixing.file_order(docs.crossJoin(docs.select("doc_id").withColumnRenamed("doc_id", "other"))) is None
+    twice = docs.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
+    assert [r["position"] for r in mixing.in_mixed_order(twice).collect()] == list(range(6))
