@@ -244,3 +244,39 @@ def test_analysis_does_not_store_the_keyword_table(spark, make, monkeypatch):
     found = modules.analyze(signals, make.metrics(("a", "views", 1, 1)), make.runs())
     assert one(found.results["keywords"]).total_mentions == sum(r.frequency for r in found.keyword_table.collect())
     assert not [name for name, columns in stored if "openings" in columns]
+
+
+def test_phrases_are_counted_batch_by_batch_without_a_sort_of_texts(make, monkeypatch):
+    import pyarrow as pa
+
+    sealed, runs = dataset.seal(make.signals({"signal_id": "a", "cleaned_text": "red fox jumps"})), make.runs()
+    phrases = keywords.spellings(sealed, runs, ["youtube"])[1]
+    assert "Sort" not in exchanged(phrases) and "Aggregate" not in exchanged(phrases)
+    rows = [
+        # run, pair, normalized, triple, normalized, place of the pair, of the triple, source
+        ("r", "Red fox", "red fox", "Red fox won", "red fox won", 5, 7, 1), ("r", "red fox", None, None, None, 9, 11, 2), ("r", "RED fox", "red fox", None, None, 3, 5, 0),
+        ("r", "red fox", None, None, None, 20, 22, 2), (None, "red fox", None, None, None, None, None, 0), ("r", "Red fox", "red fox", None, None, None, None, 0),
+        ("q", None, None, "Réd fox won", "red fox won", 1, 2, 64), ("q", "a b", None, "red fox won", None, 8, 9, 1),
+    ]
+    names = ["run_id", "pair", "pair_key", "triple", "triple_key", "pair_first", "triple_first", "seen"]
+    for kind, held in ((pa.int64(), 1 << 20), (pa.int64(), 1), (pa.decimal128(38, 0), 1), (pa.decimal128(38, 0), 1 << 20)):
+        monkeypatch.setattr(keywords, "HELD_ROWS", held)
+        types = [pa.string()] * 5 + [kind, kind, pa.int64()]
+        count = keywords.PhraseCount(kind, 2)
+        for k in range(0, len(rows), 3):
+            columns = [list(c) for c in zip(*rows[k : k + 3])]
+            count.add(pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(t) if t == kind else pa.array(c, t) for c, t in zip(columns, types)], names))
+        out = count.result().to_pylist()
+        assert sorted((r["run_id"] or "", r["term"], r["n_all"], r["n"], r["first"] and int(r["first"])) for r in out) == [
+            ("", "red fox", 1, 0, None), ("q", "Réd fox won", 1, 1, 2), ("q", "a b", 1, 1, 8), ("q", "red fox won", 1, 1, 9),
+            ("r", "RED fox", 1, 1, 3), ("r", "Red fox", 2, 1, 5), ("r", "Red fox won", 1, 1, 7), ("r", "red fox", 2, 2, 9),
+        ]
+        forms = {(r["run_id"], r["canonical_form"]): r for r in out if r["canonical_form"]}
+        assert len(forms) == 5
+        fox = forms["r", "red fox"]
+        assert (fox["form_keyword"], fox["form_frequency"], int(fox["form_first"]), fox["form_count"], fox["form_bits_0"]) == (None, 4, 3, 5, 3)
+        # Two spellings are counted twice in all texts and are equally long: the later one in the alphabet names the group.
+        assert fox["form_spelling"] is None
+        won = forms["q", "red fox won"]
+        assert (won["form_keyword"], won["form_spelling"], won["form_bits_0"], won["form_bits_1"]) == ("Réd fox won", "red fox won" if "red" > "Réd" else None, 1, 2)
+        assert forms["r", "red fox won"]["form_keyword"] == "Red fox won" and forms[None, "red fox"]["form_first"] is None
