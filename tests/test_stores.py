@@ -247,3 +247,34 @@ def test_a_batch_that_fails_between_its_tables_leaves_nothing(spark, monkeypatch
     monkeypatch.setattr(Store, "_write", write)
     assert batches.persist_batch(spark, path, rows, recorded_at=at, buckets=2, batch=("feed", 0)) == 0
     assert [d.count() for d in batches.stored_batches(spark, path).values()] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("gone, hashed", [(200_000, 5_000_000), (0, 5_000_000), (0, 0)])
+def test_new_records_are_the_same_however_many_go(spark, monkeypatch, gone, hashed):
+    monkeypatch.setattr(batches, "is_small", lambda df, limit=gone, *size, kept=batches.is_small: kept(df, limit, *size))
+    monkeypatch.setattr(batches, "HASHED_ROWS", hashed)
+    store = Store(spark, scratch_path(spark, "t-new"))
+    rows = [(k, "r", f"item {k % 5}", f"text {k}", k) for k in range(20)] + [(None, "r", "no number", "text", 1), (30, "r", None, "no id", 1), (0, "r", "item 9", "number of another", 2)]
+    found, _ = batches.new_records(store, batch_records(spark, *rows))
+    # Equal numbers are judged as one; a null one names no record.
+    assert sorted((r.arrival, r.external_item_id) for r in found.collect()) == [(0, "item 0"), (0, "item 9"), *((k, f"item {k}") for k in range(1, 5))]
+
+
+def test_a_batch_shuffles_no_texts_if_few_records_go_and_leaves_nothing_else(spark, monkeypatch):
+    plans, put_away = [], []
+
+    def shown(df, name, *rest, kept=batches.materialize, **options):
+        if name == "batch":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            assert "content" not in df.columns and "label" in df.columns
+        stored = kept(df, name, *rest, **options)
+        put_away.extend(stored.inputFiles())
+        return stored
+
+    monkeypatch.setattr(batches, "materialize", shown)
+    path, at = scratch_path(spark, "t-clean"), F.lit("2024-02-01").cast("timestamp")
+    rows = batch_records(spark, (1, "r", "a", "I love this wonderful music", 5), (2, "r", "a", "a copy of the item", 9))
+    batches.persist_batch(spark, path, rows, recorded_at=at, buckets=2)
+    assert "SortMergeJoin" not in plans[0] and "hashpartitioning" not in plans[0]
+    assert put_away and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in put_away)
+    assert all(".zstd." in f for f in files(path) if f.endswith(".parquet") and "filters" not in f)
